@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import token_orc, url_filter
+from graphloom.llm import quality_rules, simhash, token_orc, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_token_orc": token_orc.op1_token_orc,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_simhash": simhash.op8_simhash,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
