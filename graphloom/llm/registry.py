@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from graphloom.llm import quality_rules, simhash, token_orc, url_filter
+from graphloom.llm import line_templates, mixing, quality_rules, simhash, token_orc, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_token_orc": token_orc.op1_token_orc,
+        "op4_mixing": mixing.op4_mixing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
+        "op9_line_templates": line_templates.op9_line_templates,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.OP10_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
