@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import line_templates, mixing, quality_rules, simhash, token_orc, url_filter
+from graphloom.llm import fingerprints, line_templates, mixing, quality_rules, simhash, token_orc, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_token_orc": token_orc.op1_token_orc,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_mixing": mixing.op4_mixing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
