@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, line_templates, mixing, quality_rules, simhash, token_orc, url_filter
+from graphloom.llm import fingerprints, line_templates, mixing, quality_rules, sentencepiece_nbest, simhash, token_orc, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_orc": token_orc.op1_token_orc,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_mixing": mixing.op4_mixing,
+        "op5_sentencepiece_nbest": sentencepiece_nbest.op5_sentencepiece_nbest,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
         "op9_line_templates": line_templates.op9_line_templates,
