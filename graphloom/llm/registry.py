@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, line_templates, mixing, quality_rules, sentencepiece_nbest, simhash, token_orc, url_filter
+from graphloom.llm import fingerprints, kneser_ney, line_templates, masked_lm, mixing, quality_rules, sentencepiece_nbest, simhash, token_orc, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_token_orc": token_orc.op1_token_orc,
+        "op2_kneser_ney": kneser_ney.op2_kneser_ney,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_mixing": mixing.op4_mixing,
         "op5_sentencepiece_nbest": sentencepiece_nbest.op5_sentencepiece_nbest,
+        "op6_masked_lm": masked_lm.op6_masked_lm,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
         "op9_line_templates": line_templates.op9_line_templates,
