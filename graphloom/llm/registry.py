@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from graphloom.llm import fingerprints, kneser_ney, line_templates, masked_lm, mixing, quality_rules, sentencepiece_nbest, simhash, token_orc, url_filter
 
 
@@ -17,8 +18,10 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_line_templates": line_templates.op9_line_templates,
         "op10_url_filter": url_filter.op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return piped | {"op4_mixing": mixing.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
