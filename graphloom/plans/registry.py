@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ["graph_queries"]
+
+
+def _gathered(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out.update(getattr(import_module(f"graphloom.plans.{m}"), name))
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _gathered("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _gathered("ORACLE")
