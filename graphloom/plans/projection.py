@@ -91,3 +91,10 @@ def oracle(query: str, *, graph: bool = True, **more: str) -> str:
         parts.append(f"edges AS (SELECT *, substr(sha256(source_id || '|' || target_id || '|' || kind), 1, 16) AS id FROM ({plain(EDGES)}))")
     parts += [f"{k} AS ({v})" for k, v in more.items()]
     return f"WITH RECURSIVE {', '.join(parts)} {query}" if parts else query
+
+
+def documents_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, n_chars, quality, toxic of labelled documents."""
+    t = tables(spark, sf_dir)
+    both = t["documents"].select("doc_id", "lang", "n_chars").join(t["labels"], "doc_id")
+    return both.groupBy("doc_id", "lang", "n_chars").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
