@@ -87,7 +87,7 @@ def shortest_paths(spark, d):
 
 @query(
     "SELECT source, target, path FROM p WHERE done AND source <> target", graph=False, **HAND, s="SELECT id AS source FROM v ORDER BY id LIMIT 2", t="SELECT id AS target FROM v ORDER BY id DESC LIMIT 2",
-    p="SELECT source, target, source AS at, '>' || source || '>' AS path, 1 AS n, false AS done FROM s, t UNION ALL SELECT source, target, w, path || w || '>', n + 1, w = target FROM p JOIN adj ON u = at WHERE NOT done AND n < 4 AND NOT contains(path, '>' || w || '>')",
+    p="SELECT source, target, source AS cur, '>' || source || '>' AS path, 1 AS n, false AS done FROM s, t UNION ALL SELECT source, target, w, path || w || '>', n + 1, w = target FROM p JOIN adj ON u = cur WHERE NOT done AND n < 4 AND NOT contains(path, '>' || w || '>')",
 )
 def simple_paths(spark, d):
     g = hand(spark, d)
