@@ -164,3 +164,30 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, ma
         done = done.union(step.filter("element_at(path, -1) = target"))
         open_ = step.filter("element_at(path, -1) <> target")
     return done
+
+
+def simple_cycles(edges: DataFrame, *, max_nodes: int = 10) -> DataFrame:
+    """nodes (sorted), path of directed cycles of at most ``max_nodes`` nodes, one for each set of nodes (the smallest path).
+
+    A cycle is found from its smallest node only, so each is walked once.
+    """
+    e = stored(edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).distinct(), "steps")
+    loops = e.filter("u = v").select(F.array("u").alias("path"))
+    e = e.filter("u <> v")
+    open_, done = e.filter("u < v").select(F.array("u", "v").alias("path")), loops
+    for _ in range(max_nodes - 1):
+        step = stored(open_.join(e, F.element_at("path", -1) == F.col("u")), "cycles")
+        done = done.union(step.filter("v = path[0]").select("path"))
+        open_ = step.filter("v > path[0] AND NOT array_contains(path, v)").select(F.concat("path", F.array("v")).alias("path"))
+        if step.isEmpty():
+            break
+    return done.select(F.array_sort("path").alias("nodes"), "path").groupBy("nodes").agg(F.min("path").alias("path"))
+
+
+def diameter(nodes: DataFrame, edges: DataFrame) -> int | None:
+    """The greatest undirected distance; None of fewer than two nodes or of an unconnected graph."""
+    n = nodes.count()
+    if n < 2:
+        return None
+    row = distances(nodes, edges, nodes).agg(F.count(F.lit(1)).alias("pairs"), F.max("distance").alias("d")).first()
+    return row.d if row.pairs == n * n else None

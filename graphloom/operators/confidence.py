@@ -123,3 +123,16 @@ def calibration(mappings: DataFrame) -> DataFrame:
     out = mappings.groupBy("rule").agg(is_("accepted").alias("accepted"), is_("rejected").alias("rejected"), F.count(F.lit(1)).alias("total"))
     known = F.col("accepted") + F.col("rejected")
     return out.withColumns({"precision": F.when(known > 0, F.col("accepted") / known), "review_coverage": known / F.col("total")})
+
+
+def split(mappings: DataFrame, parts: DataFrame) -> DataFrame:
+    """Mappings with those in ``parts`` (mapping_id, pieces: array of structs of kind and node_ids) replaced by ``<id>_split_<i>``."""
+    cut = mappings.join(parts, "mapping_id").select("*", F.posexplode("pieces").alias("i", "piece"))
+    cut = cut.withColumns({"mapping_id": F.concat("mapping_id", F.lit("_split_"), F.col("i").cast("string")), "kind": F.col("piece.kind"), "node_ids": F.col("piece.node_ids")})
+    return mappings.join(parts.select("mapping_id"), "mapping_id", "left_anti").unionByName(cut.select(mappings.columns))
+
+
+def joined(mappings: DataFrame, groups: DataFrame) -> DataFrame:
+    """merged id, kind and fragment of groups (mapping_id, grp): the first mapping's kind, the union of the nodes; named by the first 8 characters of the ids."""
+    rows = mappings.join(groups, "mapping_id").groupBy("grp").agg(F.array_sort(F.collect_list("mapping_id")).alias("ids"), F.min_by("kind", "mapping_id").alias("kind"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("node_ids")))).alias("node_ids"))
+    return rows.select(F.concat(F.lit("merged_"), F.array_join(F.transform("ids", lambda x: F.substring(x, 1, 8)), "_")).alias("mapping_id"), "kind", "node_ids")

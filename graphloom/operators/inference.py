@@ -74,3 +74,23 @@ def run_agents(agents: DataFrame, model: dict, *, steps: int, threshold: float |
             yield pd.DataFrame(rows, columns=["agent", "t", "observation", "action", "belief", "free_energy"])
 
     return agents.select("agent").mapInPandas(run, STEPS)
+
+
+def expected_free_energy(model: dict, belief: list[float], actions: list[int]) -> float:
+    """Over the steps of a policy, the entropy of the predicted observation less its preference; the least value is the best policy."""
+    m, s, total = {k: np.asarray(v, float) for k, v in model.items()}, np.asarray(belief, float), 0.0
+    for a in actions:
+        s = m["B"][:, :, a] @ s
+        o = m["A"] @ s
+        total += float(-(o[o > 0] * np.log(o[o > 0])).sum() - m["C"] @ o)
+    return total
+
+
+def ranked_policies(policies: DataFrame, model: dict, belief: list[float]) -> DataFrame:
+    """policy, actions, efe of policies (policy, actions: array of action numbers)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(efe=[expected_free_energy(model, belief, list(x)) for x in frame["actions"]])
+
+    return policies.select("policy", "actions").mapInPandas(run, "policy string, actions array<int>, efe double")

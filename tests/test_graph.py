@@ -70,3 +70,12 @@ def test_declared_rules_reject_unknown_conditions(spark):
     with pytest.raises(ValueError):
         rules.declared_matches(x, [{"name": "r", "kind": "policy", "when": {"colour": "red"}}])
     assert [r.node_id for r in rules.declared_matches(x, [{"name": "r", "kind": "policy", "when": {"name_glob": "[a-c]", "edge_type": "calls"}}]).collect()] == ["a"]
+
+
+def test_simple_cycles_and_diameter(spark):
+    x = graph(spark, "abcde", [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("d", "d"), ("c", "e"), ("a", "c"), ("c", "b")])
+    found = {"".join(r.nodes): "".join(r.path) for r in c.simple_cycles(x.edges).collect()}
+    assert found == {"abc": "abc", "ab": "ab", "d": "d", "ac": "ac", "bc": "bc"}
+    assert c.diameter(x.nodes, x.edges) is None
+    y = graph(spark, "abc", [("a", "b"), ("b", "c")])
+    assert c.diameter(y.nodes, y.edges) == 2

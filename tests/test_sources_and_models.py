@@ -111,3 +111,18 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     got = sorted(map(tuple, spark.sql("SELECT start, name, n, total FROM timing").collect()))
     batch = df.groupBy(F.window("ts", "5 minutes").start.alias("start"), "name").agg(F.count(F.lit(1)).alias("n"), F.sum("dur").alias("total"))
     assert got == sorted(map(tuple, batch.select("start", "name", "n", "total").collect()))
+
+
+def test_policies_by_expected_free_energy(spark):
+    model = inference.demo_model()
+    assert inference.expected_free_energy(model, [1.0, 0.0], [0]) < inference.expected_free_energy(model, [1.0, 0.0], [1])
+    p = spark.createDataFrame([("stay", [0, 0]), ("go", [1, 0])], "policy string, actions array<int>")
+    assert {r.policy for r in inference.ranked_policies(p, model, [1.0, 0.0]).orderBy("efe").limit(1).collect()} == {"stay"}
+
+
+def test_review_splits_and_merges(spark):
+    m = spark.createDataFrame([("map00001x", "policy", ["1", "2"]), ("map00002y", "action", ["2", "3"])], "mapping_id string, kind string, node_ids array<string>")
+    parts = spark.createDataFrame([("map00001x", [("action", ["1"]), ("policy", ["2"])])], "mapping_id string, pieces array<struct<kind: string, node_ids: array<string>>>")
+    assert sorted(r.mapping_id for r in confidence.split(m, parts).collect()) == ["map00001x_split_0", "map00001x_split_1", "map00002y"]
+    merged = confidence.joined(m, spark.createDataFrame([("map00001x", 1), ("map00002y", 1)], "mapping_id string, grp int")).first()
+    assert (merged.mapping_id, merged.kind, merged.node_ids) == ("merged_map00001_map00002", "policy", ["1", "2", "3"])
