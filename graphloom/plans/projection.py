@@ -47,11 +47,11 @@ UNION ALL SELECT 'c:' || CAST(o_custkey AS STRING), 's:' || CAST(l_suppkey AS ST
 UNION ALL SELECT 's:' || CAST(l_suppkey AS STRING), 'p:' || CAST(l_partkey AS STRING), 'reads', CAST(count(*) AS DOUBLE) FROM {lineitem} GROUP BY l_suppkey, l_partkey
 """
 
-#: Hand-overs between the users of consecutive events: a small directed graph with cycles.
+#: Hand-overs between the users of consecutive events: a directed graph with cycles.
 HANDOVERS = """
 SELECT DISTINCT 'u' || CAST(user_id AS STRING) AS source_id, 'u' || CAST(next_user AS STRING) AS target_id
-FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS next_user, event_id FROM {events}) x
-WHERE next_user IS NOT NULL AND event_id % 8 = 0
+FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS next_user FROM {events}) x
+WHERE next_user IS NOT NULL
 """
 
 
