@@ -4,13 +4,12 @@ Digits are variable fields in every line. The tree leads by the number of tokens
 with a variable field counts as ``<*>``) to a leaf. Templates are of two kinds: a masked line as a whole,
 and a leaf's general form, for which the tokens after the leading ones are cut into ``RUNS`` runs of equal length: a run whose
 most frequent value stands in too few documents is a variable field, and a line has the leaf's form if at
-least half of the runs are constant and equal to its own. A template that stands in at least ``min_docs`` different texts
-recurs; its lines are dropped everywhere but where it stands first (smallest doc_id, then line).
+least half of the runs are constant and equal to its own. A masked line recurs if it stands in at least ``MIN_DOCS`` different texts (``LONG_DOCS``
+for lines of ``LONG_TOKENS`` tokens or more), a general form in ``FORM_DOCS``; its lines are dropped everywhere but where it stands first (smallest doc_id, then line).
 
 Exact copies of one document count once for a template, so copies alone make no template recur.
 
-Nulls and odd rows: a null text stays null, an empty one empty; lines without a word stay. Lines of fewer than ``MIN_TOKENS`` tokens are no
-templates. Rows with a null ``doc_id`` come first in order. Repeated rows are all kept and treated alike. Empty
+Nulls and odd rows: a null text stays null, an empty one empty; lines without a word stay. Rows with a null ``doc_id`` come first in order. Repeated rows are all kept and treated alike. Empty
 tables give no rows. Columns of the input pass through whatever their names, but for names that begin with ``__``.
 """
 
@@ -23,44 +22,48 @@ from graphloom.llm.shared import scratch, table
 
 DEPTH = 3
 RUNS = 8
-MIN_TOKENS = 3
-MIN_DOCS = 20
+MIN_TOKENS = 1
+MIN_DOCS = 3
+LONG_TOKENS, LONG_DOCS = 50, 2
+FORM_DOCS = 20
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """__id, __h, __pos, leaf, lh, runs of every line that can be a template."""
+    """__id, __h, __pos, leaf, lh, long, runs of every line that can be a template."""
     lines = docs.select(
         F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), F.posexplode(F.split("text", "\n", -1)).alias("__pos", "line")
     )
     tokens = lines.withColumn("tokens", F.split(F.regexp_replace(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")), "[0-9]+", "<*>"), " +", -1)).withColumn("n", F.size("tokens"))
-    tokens = tokens.filter(F.col("n") >= MIN_TOKENS)
-    lead = [F.when(F.expr(f"contains(tokens[{i}], '<*>')"), "<*>").otherwise(F.col("tokens")[i]) for i in range(DEPTH)]
-    at = lambda i: f"({DEPTH} + CAST((n - {DEPTH}) * {i} DIV {RUNS} AS INT))"
+    tokens = tokens.filter((F.col("n") >= MIN_TOKENS) & (F.col("tokens")[0] != ""))
+    lead = [F.when(F.expr(f"contains(get(tokens, {i}), '<*>')"), "<*>").otherwise(F.get("tokens", F.lit(i))) for i in range(DEPTH)]
+    at = lambda i: f"({DEPTH} + CAST(greatest(n - {DEPTH}, 0) * {i} DIV {RUNS} AS INT))"
     runs = [F.expr(f"CAST(xxhash64(slice(tokens, {at(i)} + 1, {at(i + 1)} - {at(i)})) & 2147483647L AS INT)") for i in range(RUNS)]
     return tokens.select(
-        "__id", "__h", "__pos", F.xxhash64("n", *lead).alias("leaf"), F.xxhash64("tokens").alias("lh"),
+        "__id", "__h", "__pos", F.xxhash64("n", *lead).alias("leaf"), F.xxhash64("tokens").alias("lh"), (F.col("n") >= LONG_TOKENS).alias("long"),
         F.when(F.col("n") >= DEPTH + RUNS, F.array(*runs)).alias("runs"),
     )
 
 
-def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
-    """__id, __h, __drop (positions in no order) of the documents that lose lines."""
+def recurring_lines(docs: DataFrame, *, min_docs: int | None = None) -> DataFrame:
+    """__id, __h, __drop (positions in no order) of the documents that lose lines; ``min_docs``: one threshold for all kinds."""
+    exact_docs, long_docs, form_docs = (MIN_DOCS, LONG_DOCS, FORM_DOCS) if min_docs is None else (min_docs,) * 3
     spark = docs.sparkSession
     path = scratch(spark, "lines")
     parsed_lines(docs).write.parquet(path)
     lines = spark.read.parquet(path)
-    whole = lines.groupBy("lh", "__h").agg(F.lit(1).alias("one")).groupBy("lh").agg(F.count("one").alias("texts")).filter(F.col("texts") >= min_docs).select("lh")
+    whole = lines.groupBy("lh", "long", "__h").agg(F.lit(1).alias("one")).groupBy("lh", "long").agg(F.count("one").alias("texts"))
+    whole = whole.filter(F.col("texts") >= F.when(F.col("long"), long_docs).otherwise(exact_docs)).select("lh")
     exact = lines.join(whole, "lh").select("__id", "__h", "__pos", F.col("lh").alias("template"), F.lit(0).alias("kind"))
 
     general = lines.filter("runs IS NOT NULL").select("__id", "__h", "__pos", "leaf", "runs")
-    leaves = general.groupBy("leaf", "__h").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("one").alias("texts")).filter(F.col("texts") >= min_docs).select("leaf")
+    leaves = general.groupBy("leaf", "__h").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("one").alias("texts")).filter(F.col("texts") >= form_docs).select("leaf")
     values = general.join(leaves, "leaf").select("leaf", "__h", F.posexplode("runs").alias("run", "value")).groupBy("leaf", "run", "value", "__h").agg(F.lit(1).alias("one"))
-    modal = values.groupBy("leaf", "run", "value").agg(F.count("one").alias("texts")).filter(F.col("texts") >= min_docs)
+    modal = values.groupBy("leaf", "run", "value").agg(F.count("one").alias("texts")).filter(F.col("texts") >= form_docs)
     modal = modal.groupBy("leaf", "run").agg(F.max(F.struct("texts", "value")).alias("top"))
     forms = modal.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("run", "top.value"))).alias("form")).filter(F.size("form") >= RUNS // 2)
     alike = general.join(forms, "leaf").filter(F.size(F.filter(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda i: F.col("form")[i] == F.col("runs")[i])) >= RUNS // 2)
     alike = alike.select("__id", "__h", "__pos", F.col("leaf").alias("template"), F.lit(1).alias("kind"))
-    often = alike.groupBy("template", "__h").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("one").alias("texts")).filter(F.col("texts") >= min_docs).select("template")
+    often = alike.groupBy("template", "__h").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("one").alias("texts")).filter(F.col("texts") >= form_docs).select("template")
     hits_path = scratch(spark, "template-lines")
     exact.unionByName(alike.join(often, "template").select(exact.columns)).write.parquet(hits_path)
     hits = spark.read.parquet(hits_path)
@@ -79,7 +82,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
     return out.filter("size(__drop) > 0")
 
 
-def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, min_docs: int | None = None) -> DataFrame:
     """``docs`` without recurring lines, and the columns ``__n_lines`` and ``__n_dropped``."""
     drop = recurring_lines(docs, min_docs=min_docs).select(F.col("__id").alias("__drop_id"), F.col("__h").alias("__drop_h"), "__drop")
     both = docs.withColumn("__h", F.xxhash64("text")).join(drop, F.expr("CAST(doc_id AS BIGINT) <=> __drop_id AND __h = __drop_h"), "left")

@@ -51,3 +51,12 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted((r.doc_id or 0, r.text) for r in lt.drop_recurring_lines(df, min_docs=3).collect())
     assert got == [(0, "a line with words\nx"), (1, "y"), (1, "y"), (2, "z")]
     assert lt.drop_recurring_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_and_lines_of_few_texts_recur(spark):
+    passage = " ".join(f"word{'abcdefgh'[i % 8]}{'xyz' * (i % 5)}" for i in range(60))
+    docs = [(i, f"text {w} of its own\nLes.\nAll rights reserved.\n \n{w}") for i, w in enumerate(["one", "two", "three"])]
+    docs += [(8, f"begin\n{passage}"), (9, f"end\n{passage}\nin two texts only"), (10, "in two texts only")]
+    got = {r.doc_id: r.text for r in lt.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == docs[0][1] and got[1] == "text two of its own\n \ntwo" and got[2] == "text three of its own\n \nthree"
+    assert got[8] == docs[3][1] and got[9] == "end\nin two texts only" and got[10] == "in two texts only"
