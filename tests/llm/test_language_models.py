@@ -105,3 +105,16 @@ def test_masked_lm_learns_held_out_text(spark):
     held = d.filter("doc_id % 2 = 1")
     loss = lambda m: (lambda p: p.pll.sum() / p.n_tokens.sum())(masked_lm.score(held, m).toPandas())
     assert loss(model) > loss((model[0], masked_lm.train(np.zeros(0, np.int64), np.zeros(0)))) + 1.5
+
+
+def test_thresholds_take_all_trusted_documents_without_counts(spark):
+    words = ["the cat", "a rat sat", "on that mat", "and the hat of it"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * k) % 4] for k in range(1, 4)) + f" {i}", "rare" if i % 10 == 0 else "en") for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    rows = kneser_ney.classify(docs, labels, trusted_docs=12).collect()
+    # 40 trusted documents of the rare language, of which a few give counts: it has a threshold of its own
+    assert len({r.threshold for r in rows}) == 2 and len({r.threshold for r in rows if r.lang == "rare"}) == 1
+    trusted = docs.select(docs.doc_id.alias("trusted_id"), "lang")
+    ids = [r.trusted_id for r in kneser_ney.sampled(trusted, 120).collect()]
+    assert sum(i % 10 == 0 for i in ids) == 40 and 80 < len(ids) < 160  # 120 by chance
+    assert kneser_ney.sampled(trusted, 400).count() == 400
