@@ -7,11 +7,11 @@ heuristic of a backward A* search: it takes partial paths from the end in order
 best totals, so the first N paths that reach the start are the N best.
 
 Where no piece of the vocabulary holds two neighbouring characters, every path has a node between them. Texts are cut there (before
-each U+2581 first), each part is searched once and kept, and a text's N best paths are merged from the few parts with the smallest
+each U+2581 that does not follow another one first, so a run of spaces stays with its word), each part is searched once and kept, and a text's N best paths are merged from the few parts with the smallest
 loss: at most N - 1 of them can differ from their own best in the N best.
 
 Scores are the model's, as integers (a BPE model's are the negative ranks of its merges), so sums are exact; a byte piece costs
-``BYTE_SCORE``. Paths with equal totals stand in the order in which the search meets them. Pieces of several spaces are left out.
+``BYTE_SCORE``. Paths with equal totals stand in the order in which the search meets them.
 
 Nulls and odd rows: a null text counts as empty and has no pieces; its N best are one empty path. Repeated rows are each encoded. Empty
 tables give no rows. Columns other than those asked for are passed on or ignored, whatever their names.
@@ -75,7 +75,7 @@ class Lattice:
             if model.is_byte(i):
                 self.byte_id[int(piece[1:-1], 16)] = i
                 self.text_of.append(bytes([int(piece[1:-1], 16)]))
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or SPACE * 2 in piece:
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.text_of.append(b"" if model.is_control(i) else piece.replace(SPACE, " ").encode())
             else:
                 self.pieces[piece] = (max(round(model.get_score(i)), -model.get_piece_size()), i)  # the bound: user-defined pieces have no rank
@@ -91,7 +91,7 @@ class Lattice:
         after_letter = {x[1] for x in joined if x[0].isalpha() and x[0] != SPACE}
         signs = re.escape("".join(x for x in SIGNS if x not in after_letter))
         runs = rf"{SPACE}?[{LETTERS}]+(?=[{signs}{SPACE}]|\Z)|{SPACE}?[{signs}]+(?={SPACE}|\Z)|" if signs else ""
-        self.parts = re.compile(rf"{runs}{SPACE}[^{SPACE}]*|[^{SPACE}]+")
+        self.parts = re.compile(rf"{runs}{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.decoder = np.asarray(self.text_of, object)
         self._clear()
 
@@ -158,7 +158,7 @@ class Lattice:
         self.known = Known(self._add)
         self.ids: list[bytes] = []
         self.losses: list[tuple] = []
-        self.numbers = np.zeros((4, 1024), np.int64)  # best score, first loss, ids and characters of each part
+        self.numbers = np.zeros((3, 1024), np.int64)  # best score, first loss and ids of each part
 
     def _add(self, part: str) -> int:
         """Place of a part that is not known yet: its best score and ids, and the losses of its next best."""
@@ -169,7 +169,7 @@ class Lattice:
         if at == self.numbers.shape[1]:
             self.numbers = np.concatenate((self.numbers, np.zeros_like(self.numbers)), axis=1)
         ids = array("I", chain.from_iterable(x[0][1] for x in paths))
-        self.numbers[:, at] = sum(x[0][0] for x in paths), loss[0] if loss else NEVER, len(ids), len(part)
+        self.numbers[:, at] = sum(x[0][0] for x in paths), loss[0] if loss else NEVER, len(ids)
         self.ids.append(ids.tobytes())
         self.losses.append(loss)
         return at
@@ -185,11 +185,11 @@ class Lattice:
         """For each text: ids (little-endian, 32 bits) of the best path, and the N best scores."""
         if len(self.known) > CACHE:
             self._clear()
-        # Every text begins with a space of its own, so the texts can be cut as one.
-        lines = [SPACE + x.replace(" ", SPACE) if x else "" for x in texts]
-        at = list(map(self.known.__getitem__, self.parts.findall("".join(lines))))
-        score, first, n_ids, n_chars = self.numbers[:, at]
-        ends = np.searchsorted(np.cumsum(n_chars), np.cumsum([len(x) for x in lines]), side="right")
+        # Texts are cut one by one: spaces at the end of one and the space before the next are no run.
+        parts = [self.parts.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
+        at = list(map(self.known.__getitem__, chain.from_iterable(parts)))
+        score, first, n_ids = self.numbers[:, at]
+        ends = np.cumsum([len(x) for x in parts])
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
         score, stop = np.concatenate(([0], np.cumsum(score))), np.concatenate(([0], np.cumsum(n_ids))) * 4
         ids = b"".join(map(self.ids.__getitem__, at))

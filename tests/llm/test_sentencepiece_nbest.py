@@ -64,3 +64,22 @@ def test_operator_and_edges(spark):
     assert sorted(((r.doc_id or 0, r.n_pieces, r.best_score) for r in got)) == sorted((a or 0, len(own.encode(b)[0]) // 4, own.encode(b)[1][0]) for a, b in rows)
     assert all(r.round_trip and len(r.pieces) == r.n_pieces for r in got)
     assert sn.encoded(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a   b", "   x", "x   ", "a\n    b"])
+def test_runs_of_spaces_against_all_paths_of_the_model_file(five, text):
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+    class Whole:
+        pieces = {model.id_to_piece(i): (max(round(model.get_score(i)), -model.get_piece_size()), i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+
+    assert sn.SPACE * 16 in Whole.pieces
+    assert five.encode(text)[1] == brute(Whole, sn.SPACE + text.replace(" ", sn.SPACE))[:5]
+
+
+def test_spaces_at_the_end_stay_with_their_text(five):
+    texts = ["a  ", "b" + " " * 16 + "c", "", "  d"]
+    got = five.encode_group(texts)
+    assert got == [five.encode(t) for t in texts] and [five.decode(ids) for ids, _ in got] == texts
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert model.piece_to_id(sn.SPACE * 16) in np.frombuffer(got[1][0], "<u4")
