@@ -7,6 +7,8 @@ the ids with its integer run-length encoding, keeps a row index (min and max of
 ``row_index_stride`` rows) and a Bloom filter on ``doc_id`` in each stripe. Readers take stripes in
 parallel, and a filter on ``doc_id`` skips stripes by statistics and Bloom filters.
 
+Special tokens' strings in a text get the special tokens' ids, as the library's ``encode`` gives them.
+
 Nulls and odd rows: a null text counts as empty (only the end id is written). Rows with a null
 ``doc_id`` come first. Repeated rows are kept, ordered by ``doc_id`` and then text. An empty table gives
 an empty dataset. Other columns of the input are ignored, whatever their names.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import scratch, shuffle_partitions
@@ -50,7 +52,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The library gives a special token's string in a text the token's own id. Texts that hold one are encoded as one piece.
+        names = sorted({x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content})
+        self.whole = re.compile("|".join([SPACES.pattern, *map(re.escape, names)]))
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -58,7 +62,7 @@ class ChunkEncoder:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        split = [[x] if SPACES.search(x) else CHUNK.findall(x) for x in texts]
+        split = [[x] if self.whole.search(x) else CHUNK.findall(x) for x in texts]
         new = list({c for chunks in split for c in chunks if c not in known})
         long: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
@@ -143,8 +147,8 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     """shard, shard_start: ids before each shard, from the count columns only (a row for each shard)."""
     sums = read_token_orc(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
-    both = sums.alias("a").join(F.broadcast(sums.alias("b")), F.col("b.shard") < F.col("a.shard"), "left")
-    return both.groupBy(F.col("a.shard").alias("shard")).agg(F.coalesce(F.sum("b.ids"), F.lit(0)).cast("long").alias("shard_start"))
+    before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
+    return sums.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long").alias("shard_start"))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,16 +16,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abéßZ '’.,!*&<|>-_0½ⅷ２ \t\n\r 　x日́ ٣")), max_size=40))
 def test_chunks_encode_as_whole_texts(text):
     t = Tokenizer.from_file(PATH) if not hasattr(test_chunks_encode_as_whole_texts, "t") else test_chunks_encode_as_whole_texts.t
-    t.encode_special_tokens = True
     test_chunks_encode_as_whole_texts.t = t
     got = np.frombuffer(token_orc.encoder(PATH).encode([text])[0], "<u4").tolist()
     assert got == t.encode(text, add_special_tokens=False).ids
@@ -47,6 +44,13 @@ def test_round_trip_against_brute_force(spark, plain):
     assert "EqualTo(doc_id,7)" in plan
 
 
+def test_special_tokens_as_the_library_encodes_them(plain):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z", "<|endoftext>"]
+    got = token_orc.encoder(PATH).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_empty_table(spark):
     path = scratch(spark, "test-orc")
     token_orc.write_token_orc(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_path=PATH, end_id=0, shards=2)
