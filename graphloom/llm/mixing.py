@@ -6,11 +6,12 @@ siblings by their weights. A node's budget is what its parent could place there,
 siblings and only then by the siblings of an ancestor. Each leaf then takes its whole documents once for every full epoch that its
 budget holds, and of the last epoch, ordered by a hash of seed, epoch and doc_id, the longest prefix that fits the rest.
 
-Where the prefix ends is found by counts over hash digits, level by level, so that only a small part of a leaf is ever sorted.
+Where the prefix ends is found by counts over hash digits, level by level, so that only a small part of a leaf is ever sorted. Rows meet the plan of
+their leaf by broadcast, or over salted keys if there are very many leaves, so a leaf that holds a third of all rows is dealt to many tasks.
 
 Nulls and odd rows: null names of domain, language or source count as ``''``; a null text has no tokens. Children that are not in the
 weights have weight 1; a weight of 0 or less gives no budget. Rows of one doc_id in one leaf are taken together or not at
-all. Empty tables give no rows. ``mixed`` keeps all columns of its input, whatever their names, but for names that begin with ``__``.
+all. Empty tables give no rows. ``mixed`` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import scratch, table
+from graphloom.llm.shared import meet, scratch, stored, table
 
 SEED = 17
 #: Hash digits (of 16 values each) by which the end of a prefix is narrowed down at one level, and levels.
@@ -90,7 +91,7 @@ def plan(rows: DataFrame, weights: DataFrame, *, share: tuple[int, int] = SHARE,
     # rest > 0: of leaves that give nothing of the next epoch no row is read further
     cut = budgets.filter("rest > 0").select(*LEAF, "epochs", F.col("rest").alias("left"), F.lit("").alias("prefix"))
     for level in range(1, levels + 1):
-        inside = rows.join(cut, LEAF).withColumn("h", _hash(F.col("epochs"))).filter(F.expr("startswith(h, prefix)"))
+        inside = meet(rows, cut, LEAF, spread="__id").withColumn("h", _hash(F.col("epochs"))).filter(F.expr("startswith(h, prefix)"))
         sums = inside.groupBy(*LEAF, "epochs", "left", F.substring("h", 1, digits * level).alias("digits")).agg(F.sum("__tokens").alias("t"))
         upto = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("digits"))
         after = sums.withColumn("upto", upto)
@@ -99,7 +100,7 @@ def plan(rows: DataFrame, weights: DataFrame, *, share: tuple[int, int] = SHARE,
         path = scratch(spark, "leaf-cuts")
         ends.select(*LEAF, "epochs", "e.left", F.col("e.digits").alias("prefix")).write.parquet(path)
         cut = spark.read.parquet(path)
-    inside = rows.join(cut, LEAF).withColumn("h", _hash(F.col("epochs"))).filter(F.expr("startswith(h, prefix)"))
+    inside = meet(rows, cut, LEAF, spread="__id").withColumn("h", _hash(F.col("epochs"))).filter(F.expr("startswith(h, prefix)"))
     upto = F.sum("__tokens").over(Window.partitionBy(*LEAF).orderBy("h", "__id"))  # the default frame takes rows of one hash together
     last = inside.withColumn("upto", upto).filter("upto <= `left`").groupBy(*LEAF).agg(F.max("h").alias("last"))
     # All smaller buckets are in the prefix; without a row of the last bucket it ends before that bucket's prefix.
@@ -107,21 +108,27 @@ def plan(rows: DataFrame, weights: DataFrame, *, share: tuple[int, int] = SHARE,
     return budgets.join(ends, LEAF, "left").select(*LEAF, F.col("epochs").alias("__epochs"), F.col("last").alias("__last"))
 
 
-def with_copies(docs: DataFrame, weights: DataFrame, *, domain: str = DOMAIN, tokens: str = TOKENS, **parameters) -> DataFrame:
-    """``docs`` with __domain, __lang, __source, __tokens and __copies (0: not taken)."""
+def _copies(docs: DataFrame, weights: DataFrame, *, domain: str = DOMAIN, tokens: str = TOKENS, **parameters) -> DataFrame:
+    """row (of ``docs``), __domain, __lang, __source, __tokens and __copies (0: not taken)."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__domain": name(F.expr(domain)), "__lang": name(F.col("lang")), "__source": name(F.col("source")), "__id": F.col("doc_id").cast("long"), "__tokens": F.expr(tokens)})
-    path = scratch(docs.sparkSession, "leaf-rows")
-    keyed.select(*LEAF, "__id", "__tokens").write.parquet(path)
-    leaves = plan(docs.sparkSession.read.parquet(path), weights, **parameters)
-    out = keyed.join(leaves, LEAF)
+    keyed = docs.select(
+        F.struct("*").alias("row"), name(F.expr(domain)).alias("__domain"), name(F.col("lang")).alias("__lang"), name(F.col("source")).alias("__source"),
+        F.col("doc_id").cast("long").alias("__id"), F.expr(tokens).alias("__tokens"),
+    )
+    rows = stored(keyed.select(*LEAF, "__id", "__tokens"), "leaf-rows")
+    out = meet(keyed, stored(plan(rows, weights, **parameters), "leaf-plan"), LEAF, spread="__id")
     taken = F.col("__last").isNotNull() & (_hash(F.col("__epochs")) <= F.col("__last"))
-    return out.withColumn("__copies", F.col("__epochs") + F.when(taken, 1).otherwise(0)).select(*docs.columns, *LEAF, "__tokens", "__copies")
+    return out.select("row", *LEAF, "__tokens", (F.col("__epochs") + F.when(taken, 1).otherwise(0)).alias("__copies"))
+
+
+def with_copies(docs: DataFrame, weights: DataFrame, **parameters) -> DataFrame:
+    """``docs`` with __domain, __lang, __source, __tokens and __copies (0: not taken)."""
+    return _copies(docs, weights, **parameters).select("row.*", *LEAF, "__tokens", "__copies")
 
 
 def mixed(docs: DataFrame, weights: DataFrame, **parameters) -> DataFrame:
     """The rows of the mixture, each as often as its leaf's epochs take it, with the columns of ``docs``."""
-    return with_copies(docs, weights, **parameters).filter("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+    return _copies(docs, weights, **parameters).filter("__copies > 0").select("row", F.explode(F.expr("sequence(1L, __copies)")).alias("copy")).select("row.*")
 
 
 def weight_table(spark: SparkSession) -> DataFrame:

@@ -7,13 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in local tests.
+#: Used only where the session names no checkpoint folder and runs on this machine alone, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Tables of at most so many narrow rows are sent to all executors.
+BROADCAST_ROWS = 300_000
+#: Parts into which a key's rows are dealt where its table is too large to be sent to all executors.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -45,6 +51,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def meet(rows: DataFrame, keys: DataFrame, key: str | list[str], *, spread: str | list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined to ``keys`` (stored; one row for each key, of a fixed width), whatever share of the rows one key has.
+
+    Few keys are broadcast; otherwise each key's rows are dealt to ``SALTS`` tasks by a hash of the columns ``spread``.
+    """
+    names = [key] if isinstance(key, str) else key
+    if keys.count() <= broadcast_rows:
+        return rows.join(F.broadcast(keys), names)
+    by = [spread] if isinstance(spread, str) else spread
+    salted = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), *by), F.lit(SALTS)).cast("int")).join(salted, [*names, "__salt"]).drop("__salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
