@@ -4,8 +4,10 @@ Each line that has a word is described by a few numbers; a linear-chain conditio
 boilerplate is decoded over a document's lines by Viterbi, and the share of the lines' characters that are content
 decides retention, after two base rules on word counts and repeated five-word windows.
 
-The field is trained here, in numpy, on a bounded sample of labelled documents (``sample`` documents of at most ``sample_lines`` lines):
-a line takes the quality label of its document. Where there are no labels of both kinds, ``PRIOR`` is used.
+The field is trained here, in numpy, on a bounded sample of labelled documents (``sample`` documents of at most ``sample_lines`` lines).
+Lines are labelled one by one: a line is boilerplate if its document is of low quality, or if it stands, digits aside, in ``RECUR`` documents of the
+sample or more (copies, most lines of which recur, are left out); all others are content. To the documents as they are come mixed ones: each good document with runs
+of boilerplate lines put in at its start, within it or at its end, so that the chain sees where content begins and ends. Where there are no labels of both kinds, ``PRIOR`` is used.
 
 Nulls and odd rows: a null text has no words and fails the base rules, like an empty one. Null, repeated and
 unknown labels: labels with nulls are ignored, of repeated ones the highest counts. Repeated rows are each judged. Empty
@@ -14,6 +16,7 @@ tables give no rows. ``keep_content`` passes on all columns of its input, whatev
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
@@ -27,6 +30,12 @@ from graphloom.llm.shared import table
 
 SAMPLE = 3000
 SAMPLE_LINES = 200
+#: Documents of the sample in which a boilerplate line stands.
+RECUR = 3
+#: Weights of good, low-quality and mixed documents in the training; good ones weigh more, as a lost one costs more than junk that stays.
+PARTS = (10, 1, 2)
+#: Lines of a run that is put into a good document.
+RUN_LINES = (1, 4)
 MIN_WORDS = 10
 MIN_CONTENT = 0.5
 SPACE = " \t\n\x0b\x0c\r"
@@ -110,65 +119,122 @@ def viterbi(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return np.asarray(out[::-1], np.int8)
 
 
-def train(docs: list[tuple[np.ndarray, int]], *, steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> tuple[list[float], list[list[float]]]:
+def likelihood(theta: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted log-likelihood of the labels, and its gradient.
+
+    ``x``: lines x documents x features, longest documents first; ``y``: lines x documents; ``size`` and ``share``: lines and weight of each document.
+    """
+    longest, n, f = x.shape
+    live = [int((size > t).sum()) for t in range(longest)]  # documents with a line t come first
+    w, trans, each = theta[:f], theta[f:].reshape(2, 2), np.arange(n)
+    e = np.zeros((longest, n, 2))
+    e[:, :, 1] = x @ w
+    alpha, beta = e.copy(), np.zeros((longest, n, 2))
+    for t in range(1, longest):
+        k = live[t]
+        alpha[t, :k] += np.logaddexp(alpha[t - 1, :k, :1] + trans[0], alpha[t - 1, :k, 1:] + trans[1])
+    for t in range(longest - 2, -1, -1):
+        k = live[t + 1]
+        after = beta[t + 1, :k] + e[t + 1, :k]
+        beta[t, :k] = np.logaddexp(after[:, :1] + trans[:, 0], after[:, 1:] + trans[:, 1])
+    z = np.logaddexp(*alpha[size - 1, each].T)
+    told, grad = -z, np.zeros_like(theta)
+    for t in range(longest):
+        k = live[t]
+        p = np.exp(alpha[t, :k, 1] + beta[t, :k, 1] - z[:k])
+        told[:k] += e[t, each[:k], y[t, :k]]
+        grad[:f] += ((y[t, :k] - p) * share[:k]) @ x[t, :k]
+        if t:
+            joint = -np.exp(alpha[t - 1, :k, :, None] + trans + (beta[t, :k] + e[t, :k])[:, None, :] - z[:k, None, None])
+            joint[each[:k], y[t - 1, :k], y[t, :k]] += 1
+            told[:k] += trans[y[t - 1, :k], y[t, :k]]
+            grad[f:] += (joint * share[:k, None, None]).sum(0).ravel()
+    return float(told @ share), grad
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray, float]], *, steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> tuple[list[float], list[list[float]]]:
     """Fits emission and transition weights by gradient ascent (Adam) on the exact log-likelihood.
 
-    ``docs``: line features (lines x features) and label of each document.
+    ``docs``: line features (lines x features), labels of the lines and weight of each document.
     """
     docs = sorted((d for d in docs if len(d[0])), key=lambda d: -len(d[0]))
     n, longest, f = len(docs), len(docs[0][0]), docs[0][0].shape[1]
-    x, size = np.zeros((longest, n, f)), np.array([len(d[0]) for d in docs])
-    for i, (rows, _) in enumerate(docs):
-        x[: len(rows), i] = rows
-    y = np.array([d[1] for d in docs])
-    live = [int((size > t).sum()) for t in range(longest)]  # documents with a line t come first
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / size  # classes and documents count alike
+    x, y, size = np.zeros((longest, n, f)), np.zeros((longest, n), np.int64), np.array([len(d[0]) for d in docs])
+    for i, (rows, labels, _) in enumerate(docs):
+        x[: len(rows), i], y[: len(rows), i] = rows, labels
+    share = np.array([d[2] for d in docs]) / size  # documents count alike, however long
+    share /= (share * size).sum()
     theta = np.zeros(f + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, trans = theta[:f], theta[f:].reshape(2, 2)
-        e = np.zeros((longest, n, 2))
-        e[:, :, 1] = x @ w
-        alpha, beta = e.copy(), np.zeros((longest, n, 2))
-        for t in range(1, longest):
-            k = live[t]
-            alpha[t, :k] += np.logaddexp(alpha[t - 1, :k, :1] + trans[0], alpha[t - 1, :k, 1:] + trans[1])
-        for t in range(longest - 2, -1, -1):
-            k = live[t + 1]
-            after = beta[t + 1, :k] + e[t + 1, :k]
-            beta[t, :k] = np.logaddexp(after[:, :1] + trans[:, 0], after[:, 1:] + trans[:, 1])
-        z = np.logaddexp(*alpha[size - 1, np.arange(n)].T)
-        grad = np.zeros_like(theta)
-        for t in range(longest):
-            k = live[t]
-            p = np.exp(alpha[t, :k, 1] + beta[t, :k, 1] - z[:k])
-            grad[:f] += ((y[:k] - p) * share[:k]) @ x[t, :k]
-            if t:
-                joint = np.exp(alpha[t - 1, :k, :, None] + trans + (beta[t, :k] + e[t, :k])[:, None, :] - z[:k, None, None])
-                told = np.zeros_like(joint)
-                told[np.arange(k), y[:k], y[:k]] = 1
-                grad[f:] += ((told - joint) * share[:k, None, None]).sum(0).ravel()
-        grad -= l2 * theta
+        grad = likelihood(theta, x, y, size, share)[1] - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return theta[:f].tolist(), theta[f:].reshape(2, 2).tolist()
 
 
+def line_labels(sample: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The documents to train on, with labels of their lines and weights.
+
+    ``sample``: quality, features of the lines and hashes of the lines of each document, in an order that does not depend on tasks.
+    """
+    sample = list({hashes.tobytes(): (q, rows, hashes) for q, rows, hashes in sample if len(rows)}.values())
+
+    def recurring(docs: list) -> set:
+        count = Counter(h for _, _, hashes in docs for h in set(hashes.tolist()))
+        return {h for h, n in count.items() if n >= RECUR}
+
+    first = recurring(sample)
+    sample = [d for d in sample if 2 * sum(h in first for h in d[2].tolist()) <= len(d[2]) or len(d[2]) < 3]
+    again = recurring(sample)
+    good, junk, runs = [], [], []
+    for q, rows, hashes in sample:
+        labels = np.array([int(q > 0 and h not in again) for h in hashes.tolist()], np.int64)
+        (good if q > 0 else junk).append((rows, labels))
+        if q <= 0:
+            runs.append(rows)
+    if not good or not junk:
+        return []
+    rng, mixed = np.random.default_rng(len(sample)), []
+    for rows, labels in good:
+        for place in (0, len(rows), int(rng.integers(0, len(rows) + 1)))[int(rng.integers(0, 3)) :]:
+            own = runs[int(rng.integers(0, len(runs)))]
+            at, n = int(rng.integers(0, len(own))), int(rng.integers(*RUN_LINES, endpoint=True))
+            run = own[at : at + n]
+            place = min(place, len(rows))
+            rows = np.concatenate((rows[:place], run, rows[place:]))
+            labels = np.concatenate((labels[:place], np.zeros(len(run), np.int64), labels[place:]))
+        mixed.append((rows, labels))
+    return [(rows, labels, w / len(part)) for part, w in zip((good, junk, mixed), PARTS) for rows, labels in part]
+
+
+_DIGITS = re.compile(rb"[0-9]+")
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh64_intdigest
+
     for batch in batches:
-        rows = [np.asarray(measure(t)[1], np.float64).ravel().tolist() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], ["quality", "rows"])
+        rows, hashes = [], []
+        for text in batch.column("text").to_pylist():
+            rows.append(np.asarray(measure(text)[1], np.float64).ravel().tolist())
+            lines = [b" ".join(line.split()) for line in (text or "").encode().split(b"\n")]
+            hashes.append([xxh64_intdigest(_DIGITS.sub(b"0", line)) >> 1 for line in lines if line])
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.int64()))], ["quality", "rows", "hashes"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> tuple[list[float], list[list[float]]]:
-    """The model of a bounded sample: the ``sample`` labelled documents that come first by a hash of their id."""
+    """The model of a bounded sample: the ``sample`` labelled documents that come first by a hash of their id.
+
+    Of the rows of these ids the first ``2 * sample`` by a hash of id and text are taken.
+    """
     told = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).na.drop().groupBy("id").agg(F.max("quality").alias("quality"))
     told = told.orderBy(F.xxhash64("id"), "id").limit(sample)
-    both = docs.select("doc_id", "text").join(F.broadcast(told), F.col("doc_id") == F.col("id")).select("quality", "text")
+    both = docs.select("doc_id", "text").join(F.broadcast(told), F.col("doc_id") == F.col("id")).select("quality", "text", F.xxhash64("id", "text").alias("order"))
     both = both.filter(F.length("text") - F.length(F.translate("text", "\n", "")) < sample_lines)
-    rows = both.mapInArrow(_sampled, "quality int, rows array<double>").limit(2 * sample).collect()
-    found = sorted(((np.asarray(r.rows).reshape(-1, len(FEATURES)), int(r.quality > 0)) for r in rows if r.rows), key=lambda d: (d[1], len(d[0]), d[0].tobytes()))
-    return train(found) if len({q for _, q in found}) == 2 else PRIOR
+    rows = both.orderBy("order").limit(2 * sample).select("quality", "text").mapInArrow(_sampled, "quality int, rows array<double>, hashes array<long>").collect()
+    found = line_labels([(int(r.quality), np.asarray(r.rows).reshape(-1, len(FEATURES)), np.asarray(r.hashes, np.int64)) for r in rows])
+    return train(found) if found else PRIOR
 
 
 def _judge(texts: list, model: tuple, min_content: float) -> list[tuple]:

@@ -53,3 +53,50 @@ def test_learns_from_labels(spark):
     assert q.fit(docs, labels.limit(0)) == q.PRIOR
     prior = q.judge(docs, q.PRIOR).join(labels, "doc_id").toPandas()
     assert prior[prior.quality == 1].kept.mean() > 0.98
+    # lines put into good documents are told from those around them, and the chain has learned to stay
+    weights, transition = np.asarray(model[0]), np.asarray(model[1])
+    assert transition[1, 1] > transition[1, 0] and transition[0, 0] > transition[0, 1]
+    rng, found, planted, wrong, own, shares = np.random.default_rng(4), 0, 0, 0, 0, []
+    ads = ["home | cart | login | help |", "BUY NOW!! CLICK HERE!! GREAT DEAL!!", "*** ### $$$ *** %%% &&&", "MENU| NEWS| SHOP| ABOUT| CONTACT|"]
+    for r in docs.join(labels.filter("quality = 1"), "doc_id").orderBy("doc_id").limit(400).collect():
+        lines = [x for x in r.text.split("\n") if x.split()]
+        if len(lines) >= 3:
+            at, run = int(rng.integers(0, len(lines) + 1)), [ads[i] for i in rng.integers(0, 4, int(rng.integers(2, 5)))]
+            _, rows, chars = q.measure("\n".join(lines[:at] + run + lines[at:]))
+            got = q.viterbi(np.asarray(rows) @ weights, transition)
+            found, planted = found + (got[at : at + len(run)] == 0).sum(), planted + len(run)
+            rest = np.concatenate((got[:at], got[at + len(run) :]))
+            wrong, own = wrong + (rest == 0).sum(), own + len(rest)
+            shares.append(np.dot(got, chars) / sum(chars))
+    assert planted > 200 and found >= 0.9 * planted and wrong <= 0.05 * own
+    assert np.mean([0 < x < 1 for x in shares]) > 0.9
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(3)
+    size = np.array([5, 4, 2, 1])
+    x, y, share = rng.normal(size=(5, 4, 3)), rng.integers(0, 2, (5, 4)), rng.random(4)
+    theta = rng.normal(size=7)
+    _, grad = q.likelihood(theta, x, y, size, share)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-5
+        want = (q.likelihood(theta + step, x, y, size, share)[0] - q.likelihood(theta - step, x, y, size, share)[0]) / 2e-5
+        assert abs(want - grad[i]) < 1e-6
+    # the likelihood itself, over all paths
+    total = 0.0
+    for d in range(4):
+        e, t = x[: size[d], d] @ theta[:3], theta[3:].reshape(2, 2)
+        score = lambda p: sum(a * b for a, b in zip(e, p)) + sum(t[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        paths = [[(k >> i) & 1 for i in range(size[d])] for k in range(2 ** size[d])]
+        total += share[d] * (score(y[: size[d], d].tolist()) - np.log(sum(np.exp(score(p)) for p in paths)))
+    assert abs(total - q.likelihood(theta, x, y, size, share)[0]) < 1e-9
+
+
+def test_lines_that_recur_are_boilerplate_and_copies_are_left_out():
+    row = lambda *hashes: (1, np.ones((len(hashes), 2)) * np.array(hashes)[:, None], np.array(hashes))
+    sample = [row(1, 2, 3, 99), row(4, 5, 6, 99), row(7, 8, 9, 99), *[row(20, 21, 22, 23 + i) for i in range(4)], (0, np.zeros((2, 2)), np.array([50, 51]))]
+    got = q.line_labels(sample)
+    whole = {tuple(rows[:, 0].astype(int)): labels.tolist() for rows, labels, _ in got}
+    assert whole[1, 2, 3, 99] == [1, 1, 1, 0] and not any(20 in k for k in whole) and whole[0, 0] == [0, 0]
+    mixed = [(k, v) for k, v in whole.items() if 0 in k and len(k) > 2]
+    assert len(mixed) == 3 and all(v[i] == 0 for k, v in mixed for i in range(len(k)) if k[i] == 0)
