@@ -5,12 +5,12 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import line_templates, mixing, quality_rules, sentencepiece_nbest
+from graphloom.llm import mixing, quality_rules, sentencepiece_nbest
 from graphloom.llm.shared import stored
-from tests.llm.test_line_templates import brute_exact
+from tests.llm.test_line_templates import brute as brute_lines
 from tests.llm.test_mixing import brute as brute_mixing
 from tests.llm.test_quality_rules import brute as brute_base
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_near_copies import brute_groups
 
 D = "/root/testdata/sf0.001"
 
@@ -58,14 +58,15 @@ def test_quality_stage(spark, stages):
 def test_line_stage(stages):
     before, after = stages[1]
     docs = [(r.doc_id, r.text) for r in before.orderBy("doc_id").collect()]
-    assert {r.doc_id: r.text for r in after.collect()} == brute_exact(docs, line_templates.MIN_DOCS)
+    assert {r.doc_id: r.text for r in after.collect()} == brute_lines(docs)
     assert all(r.n_chars == len(r.text) for r in after.collect())
 
 
 def test_near_duplicate_stage(stages):
     before, after = stages[2]
-    group = brute_components({r.doc_id: brute_fp(r.text) for r in before.collect()})
-    assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, c in group.items() if i == c)
+    docs = sorted((r.doc_id, r.text) for r in before.collect())
+    label = brute_groups([t for _, t in docs])  # five words and a Jaccard of 0.8, as the stage's contract says
+    assert sorted(r.doc_id for r in after.collect()) == sorted(docs[i][0] for i in set(label))
 
 
 def test_mixing_stage(stages):
@@ -86,3 +87,19 @@ def test_encoding_stage(stages):
         ids = np.asarray(r.pieces, "<u4").tobytes()
         assert r.round_trip and own.decode(ids) == texts[r.doc_id]
         assert r.nbest_scores == [s for s, _ in own.nbest(texts[r.doc_id])]
+
+
+def test_nulls_repeats_and_empty_texts_pass_all_stages(spark, tmp_path):
+    good = "The words of this text are all other ones, and each of them is told but once here. So it ends well enough."
+    rows = [(None, None, None, None, None), (1, "", "en", "src1", 0), (2, good, "en", "src1", len(good)), (2, good, "en", "src1", len(good)), (None, "Here is another good page that shares no run of five words with the rest, so nothing should take it away.", None, None, 5), (None, "An unrelated text without an id stands for itself and is no copy of any other, so that it should stay.", "en", "src2", 9), (3, "x y " * 30_000, "de", "src3", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1), (None, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n, want in ((len(rows), 3), (0, 0)):
+        now = docs.limit(n)
+        for name, f in corpus_pipeline.STAGES[:3]:
+            now = stored(f(spark, now, str(tmp_path)), f"test-{name}")
+        assert now.count() == want and now.columns == docs.columns  # of the good ones, the repeated row stays once, and both without an id
+        for name, f in corpus_pipeline.STAGES[3:]:
+            now = stored(f(spark, now, str(tmp_path)), f"test-{name}")
+        assert now.count() <= want
