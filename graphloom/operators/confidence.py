@@ -57,6 +57,28 @@ def with_static_evidence(matches: DataFrame) -> DataFrame:
     return matches.withColumn("provenance", F.array(F.struct(F.lit("static_analysis").alias("source"), F.col("confidence").cast("double").alias("confidence"))))
 
 
+#: Scores below are low.
+LOW_CONFIDENCE = 0.6
+
+
+def low_confidence(mappings: DataFrame, below: float = LOW_CONFIDENCE) -> DataFrame:
+    """Scored mappings with a score below the bound."""
+    return mappings.filter(F.col("score") < below)
+
+
+def conflicted(mappings: DataFrame) -> DataFrame:
+    """Scored mappings with a penalty for evidence that disagrees."""
+    return mappings.filter(F.size("penalties") > 0)
+
+
+def by_tier(mappings: DataFrame, tier: str) -> DataFrame:
+    return mappings.filter(F.col("tier") == tier)
+
+
+def by_kind(mappings: DataFrame, kind: str) -> DataFrame:
+    return mappings.filter(F.col("kind") == kind)
+
+
 def confident(mappings: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
     return mappings.filter(F.col("score") >= least)
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import stored
+
 NODE_KINDS = ["repo", "module", "file", "class", "function", "method", "variable", "endpoint", "event", "parameter", "return_value", "data_structure", "configuration", "feature_flag", "test", "assertion", "policy", "action"]
 EDGE_KINDS = ["contains", "imports", "inherits", "implements", "depends_on", "reads", "writes", "returns", "calls", "async_calls", "throws", "catches", "yields", "observes", "mutates", "guards", "triggers", "evidence_from_static", "evidence_from_dynamic"]
 
@@ -96,6 +98,30 @@ def remove_nodes(graph: PropertyGraph, ids: DataFrame) -> PropertyGraph:
     return PropertyGraph(graph.nodes.join(gone, F.col("id") == F.col("__n"), "left_anti"), edges)
 
 
+def remove_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Without the edges in ``ids`` (id)."""
+    return edges.join(ids.select(F.col("id").alias("__e")).distinct(), F.col("id") == F.col("__e"), "left_anti")
+
+
+def weighted_adjacency(edges: DataFrame, order: list[str]) -> DataFrame:
+    """source_id, target_id, weight: the whole part of the weight of the last parallel edge by ``order``."""
+    return edges.groupBy("source_id", "target_id").agg(F.max_by(F.col("weight").cast("long"), F.struct(*order)).alias("weight"))
+
+
+def child_names(graph: PropertyGraph, kind: str, child_kind: str) -> DataFrame:
+    """id, cardinality, names (sorted): what each node of one kind contains of another; 0 and none for a node without."""
+    children = graph.nodes.filter(F.col("kind") == child_kind).select(F.col("id").alias("target_id"), F.col("name").alias("child"))
+    held = graph.edges.filter("kind = 'contains'").select("source_id", "target_id").distinct().join(children, "target_id")
+    found = held.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list("child")).alias("found"))
+    both = graph.nodes.filter(F.col("kind") == kind).select("id").join(found, "id", "left")
+    return both.select("id", F.coalesce("k", F.lit(0)).alias("cardinality"), F.coalesce("found", F.array().cast("array<string>")).alias("names"))
+
+
+def top_nodes(nodes: DataFrame, degrees: DataFrame, k: int) -> DataFrame:
+    """id, degree of the k given nodes of greatest degree (ties: the smaller id first)."""
+    return nodes.select("id").join(degrees.select("id", "degree"), "id").orderBy(F.desc("degree"), "id").limit(k)
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """u, v: neighbours in either direction, once; a self-loop makes a node its own neighbour."""
     return edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).union(edges.select("target_id", "source_id")).distinct()
@@ -143,11 +169,11 @@ def clustering(edges: DataFrame) -> DataFrame:
 
     Each edge between neighbours is met once, as a pair of the node's adjacency that is an edge itself.
     """
-    adj = adjacency(edges).filter("u <> v")
+    adj = stored(adjacency(edges).filter("u <> v"), "adjacency")  # read five times
     k = adj.groupBy("u").agg(F.count(F.lit(1)).alias("neighbours"))
     # orient edges towards the larger degree, so that hubs don't pair up all their neighbours
     rank = adj.join(k.withColumnRenamed("neighbours", "ku"), "u").join(k.select(F.col("u").alias("v"), F.col("neighbours").alias("kv")), "v")
-    up = rank.filter("ku < kv OR (ku = kv AND u < v)").select("u", "v")
+    up = stored(rank.filter("ku < kv OR (ku = kv AND u < v)").select("u", "v"), "oriented-edges")
     a, b = up.select("u", F.col("v").alias("x")), up.select("u", F.col("v").alias("y"))
     closed = a.join(b, "u").filter("x < y").join(up.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")), ["x", "y"])
     links = closed.select(F.explode(F.array("u", "x", "y")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("links"))

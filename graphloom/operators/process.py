@@ -85,3 +85,8 @@ def timeline(durations: DataFrame, links: DataFrame) -> DataFrame:
         new = order.filter(F.col("level") == k).join(start, "stage", "left").select("stage", F.coalesce("start", F.lit(0.0)).alias("start"), (F.coalesce("start", F.lit(0.0)) + F.col("duration")).alias("end"))
         done = stored(done.union(new), "timeline")
     return done
+
+
+def total_duration(stages: DataFrame) -> DataFrame:
+    """One row: when the last stage of a time line (stage, start, end) has ended; 0 without stages."""
+    return stages.agg(F.coalesce(F.max("end"), F.lit(0.0)).alias("total"))

@@ -115,3 +115,24 @@ def free_energy(belief: str, prior: str, likelihood: str, *, floor: float = 1e-1
     gain = F.aggregate(F.zip_with(belief, likelihood, lambda x, y: x * F.log(F.greatest(y, F.lit(floor)))), F.lit(0.0), lambda a, x: a + x)
     term = lambda x, y: F.when(x > 0, x * (F.log(x) - F.log(F.greatest(y, F.lit(floor))))).otherwise(0.0)
     return F.aggregate(F.zip_with(belief, prior, term), F.lit(0.0), lambda a, x: a + x) - gain
+
+
+def uniform(n: int) -> Column:
+    """n equal probabilities."""
+    return F.array_repeat(F.lit(1.0 / n), n)
+
+
+def accuracy(belief: str, likelihood: str, *, floor: float = 1e-16) -> Column:
+    """Expected log-likelihood of an observation under a belief."""
+    return F.aggregate(F.zip_with(belief, likelihood, lambda x, y: x * F.log(F.greatest(y, F.lit(floor)))), F.lit(0.0), lambda a, x: a + x)
+
+
+def surprisal(belief: str, likelihood: str) -> Column:
+    """The accuracy term with its sign changed (not the observation's own -log p)."""
+    return -accuracy(belief, likelihood)
+
+
+def log_probability(p: str, at: int) -> Column:
+    """ln of one category's probability; minus infinity for 0 or a category that is not there."""
+    x = F.get(p, F.lit(at))
+    return F.when(x > 0, F.log(x)).otherwise(F.lit(float("-inf")))

@@ -105,3 +105,8 @@ def hot_functions(times: DataFrame) -> DataFrame:
         return t.withColumn("hot", F.lit(False))
     least = t.orderBy(F.desc("total_ms")).limit(max(1, n // 10)).agg(F.min("total_ms").alias("least"))
     return t.crossJoin(F.broadcast(least)).withColumn("hot", F.col("total_ms") >= F.col("least")).drop("least")  # one row
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """One row: events, functions (different names), threads and categories of trace events (name, tid, cat)."""
+    return events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("name").alias("functions"), F.count_distinct("tid").alias("threads"), F.count_distinct("cat").alias("categories"))

@@ -191,3 +191,34 @@ def module_coupling(spark, d):
     graph = whole(spark, d)
     classes = graph.nodes.filter("kind = 'class'").groupBy(F.col("path").alias("module")).agg(F.count_if(F.col("name").startswith("Base")).alias("n_abstract"), F.count_if(~F.col("name").startswith("Base")).alias("n_concrete"))
     return g.module_metrics(g.module_edges(graph).select(F.col("source_path").alias("source"), F.col("target_path").alias("target")), classes)
+
+
+@query("SELECT id, kind FROM edges WHERE kind NOT IN ('guards', 'throws')")
+def remove_edges(spark, d):
+    e = edges(spark, d)
+    return g.remove_edges(e, e.filter("kind IN ('guards', 'throws')")).select("id", "kind")
+
+
+@query("SELECT source_id, target_id, arg_max(CAST(trunc(weight) AS BIGINT), kind) AS weight FROM edges GROUP BY source_id, target_id")
+def weighted_adjacency(spark, d):
+    return g.weighted_adjacency(edges(spark, d), ["kind"])
+
+
+@query("SELECT c.id, CAST(count(m.id) AS BIGINT) AS cardinality, coalesce(string_agg(m.name, ',' ORDER BY m.name), '') AS names FROM nodes c LEFT JOIN (SELECT source_id, n.id, n.name FROM edges JOIN nodes n ON n.id = target_id AND n.kind = 'method' WHERE edges.kind = 'contains') m ON m.source_id = c.id WHERE c.kind = 'class' GROUP BY c.id")
+def class_cardinality(spark, d):
+    return g.child_names(whole(spark, d), "class", "method").withColumn("names", F.array_join("names", ","))
+
+
+@query("SELECT id, degree FROM deg WHERE id IN (SELECT id FROM nodes WHERE kind = 'variable') ORDER BY degree DESC, id LIMIT 50", ends=_ENDS, deg=_DEG)
+def top_states(spark, d):
+    graph = whole(spark, d)
+    return g.top_nodes(graph.nodes.filter("kind = 'variable'"), g.degrees(graph), 50)
+
+
+@query(
+    "SELECT n_nodes, n_edges, round(least(1, 0.6 * n_edges / (n_nodes * (n_nodes - 1) / 2) + 0.4 * least(1, log2(n_nodes + 1) / log2(1000))), 9) AS complexity, round(coupling, 9) AS coupling, round(1 - coupling, 9) AS cohesion FROM (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT avg(CASE WHEN a.path <> b.path THEN 1.0 ELSE 0 END) FROM edges JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id) AS coupling)"
+)
+def metric_summary(spark, d):
+    graph = whole(spark, d)
+    both = g.density(graph).crossJoin(g.coupling_and_cohesion(graph))  # one row each
+    return both.select("n_nodes", "n_edges", *[F.round(c, 9).alias(c) for c in ("complexity", "coupling", "cohesion")])

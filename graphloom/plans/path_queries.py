@@ -328,3 +328,15 @@ def graph_validation(spark, d):
     n = g.nodes.filter("kind <> 'event'").withColumns({"name": F.expr("CASE WHEN kind = 'module' THEN '' ELSE name END"), "qualified_name": F.expr("CASE WHEN kind = 'class' THEN NULL ELSE qualified_name END")}).union(g.nodes.filter("kind = 'method'"))
     e = g.edges.withColumn("weight", F.expr("CASE WHEN kind = 'throws' THEN -weight ELSE weight END"))
     return validate.graph_issues(PropertyGraph(n, e)).groupBy("issue", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT f, round(1 / 3.0, 9) AS uniform, round(x * ln(0.7) + y * ln(0.2) + z * ln(0.1), 9) AS accuracy, round(-(x * ln(0.7) + y * ln(0.2) + z * ln(0.1)), 9) AS surprisal, round(ln(y), 9) AS log_probability FROM u", graph=False, **_VEC)
+def likelihood_scalars(spark, d):
+    rounded = lambda c, name: F.round(c, 9).alias(name)
+    return _vectors(spark, d).select("f", rounded(F.get(statespace.uniform(3), F.lit(0)), "uniform"), rounded(statespace.accuracy("p", "l"), "accuracy"), rounded(statespace.surprisal("p", "l"), "surprisal"), rounded(statespace.log_probability("p", 1), "log_probability"))
+
+
+@query("SELECT count(*) AS events, count(DISTINCT event_type) AS functions, count(DISTINCT user_id) AS threads, count(DISTINCT props) AS categories FROM events", graph=False)
+def trace_summary(spark, d):
+    e = tables(spark, d)["events"]
+    return traces.summary(e.select(F.col("event_type").alias("name"), F.col("user_id").alias("tid"), F.col("props").alias("cat")))

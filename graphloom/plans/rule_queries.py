@@ -163,3 +163,27 @@ def review_calibration(spark, d):
 @query(f"SELECT id, array_to_string({_TOKENS}, ' ') AS words FROM nodes")
 def name_tokens(spark, d):
     return nodes(spark, d).select("id", F.array_join(kw.tokens("name"), " ").alias("words"))
+
+
+_TIER = "CASE WHEN hu IS NOT NULL THEN 'human_reviewed' WHEN dy IS NOT NULL AND score >= 0.65 THEN 'static_plus_runtime' ELSE 'static_only' END"
+
+
+@query(f"SELECT mapping_id, {_TIER} AS tier FROM z WHERE round(score, 9) < 0.7", graph=False, **_EVID)
+def low_confidence(spark, d):
+    scored = c.scored(_evidenced(spark, d)).withColumn("score", F.round("score", 9))
+    return c.low_confidence(scored, 0.7).select("mapping_id", "tier")
+
+
+@query("SELECT mapping_id, round(CAST(pen AS DOUBLE), 6) AS penalty FROM z WHERE pen > 0", graph=False, **_EVID)
+def conflicted_mappings(spark, d):
+    return c.conflicted(c.scored(_evidenced(spark, d))).select("mapping_id", F.round(F.aggregate("penalties", F.lit(0.0), lambda a, x: a + x), 6).alias("penalty"))
+
+
+@query(f"SELECT mapping_id FROM z WHERE {_TIER} = 'static_plus_runtime'", graph=False, **_EVID)
+def mappings_by_tier(spark, d):
+    return c.by_tier(c.scored(_evidenced(spark, d)), "static_plus_runtime").select("mapping_id")
+
+
+@query("SELECT CAST(doc_id AS STRING) AS mapping_id FROM dl WHERE lang = 'de'", graph=False, dl=_EVID["dl"])
+def mappings_by_kind(spark, d):
+    return c.by_kind(_evidenced(spark, d), "de").select("mapping_id")
