@@ -6,14 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in local tests.
+#: Used only where the session names no checkpoint folder and runs on this machine alone, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in ``spark.checkpoint.dir``, read again; it survives lost executors."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = (found or LOCAL_CHECKPOINTS).rstrip("/")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -124,7 +124,8 @@ def top_nodes(nodes: DataFrame, degrees: DataFrame, k: int) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """u, v: neighbours in either direction, once; a self-loop makes a node its own neighbour."""
-    return edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).union(edges.select("target_id", "source_id")).distinct()
+    end = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    return edges.select(F.explode(F.array(end("source_id", "target_id"), end("target_id", "source_id"))).alias("pair")).select("pair.*").distinct()
 
 
 def neighbours(graph: PropertyGraph, ids: DataFrame) -> DataFrame:
@@ -134,7 +135,8 @@ def neighbours(graph: PropertyGraph, ids: DataFrame) -> DataFrame:
 
 def degrees(graph: PropertyGraph) -> DataFrame:
     """id, in_degree, out_degree, degree, centrality of every node; parallel edges count, a self-loop counts twice."""
-    ends = graph.edges.select(F.col("source_id").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(graph.edges.select("target_id", F.lit(1), F.lit(0)))
+    end = lambda c, i, o: F.struct(F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = graph.edges.select(F.explode(F.array(end("source_id", 0, 1), end("target_id", 1, 0))).alias("end")).select("end.*")
     count = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     n = graph.nodes.agg(F.count(F.lit(1)).alias("n"))
     both = graph.nodes.select("id").join(count, "id", "left").crossJoin(F.broadcast(n))  # one row
@@ -181,12 +183,13 @@ def clustering(edges: DataFrame) -> DataFrame:
     return out.select(F.col("u").alias("id"), "neighbours", "links", (F.col("links") / (F.col("neighbours") * (F.col("neighbours") - 1) / 2)).alias("coefficient"))
 
 
-def merge(static: PropertyGraph, dynamic: PropertyGraph, *, strategy: str = "union", tolerance: float = 0.1) -> tuple[PropertyGraph, DataFrame]:
-    """Both graphs, nodes of ``static`` first by id, and the conflicts: edges whose weights differ by more than ``tolerance``.
+def merged_nodes(static: PropertyGraph, dynamic: PropertyGraph) -> DataFrame:
+    """Nodes of both graphs, those of ``static`` first by id."""
+    return static.nodes.unionByName(dynamic.nodes.join(static.nodes.select("id"), "id", "left_anti").select(static.nodes.columns))
 
-    A conflicting edge gets the greater weight (union), the static (static_priority) or the dynamic one (dynamic_priority), any other the greater. Edges without their ends are dropped.
-    """
-    nodes = static.nodes.unionByName(dynamic.nodes.join(static.nodes.select("id"), "id", "left_anti").select(static.nodes.columns))
+
+def merged_edges(static: PropertyGraph, dynamic: PropertyGraph, nodes: DataFrame, *, strategy: str = "union", tolerance: float = 0.1) -> DataFrame:
+    """source_id, target_id, kind, ws, wd (the weight in either graph or null), weight and conflict of the edges of both graphs between ``nodes``."""
     key = ["source_id", "target_id", "kind"]
     a = static.edges.select(*key, F.col("weight").alias("ws"))
     b = dynamic.edges.select(*key, F.col("weight").alias("wd"))
@@ -195,9 +198,18 @@ def merge(static: PropertyGraph, dynamic: PropertyGraph, *, strategy: str = "uni
     chosen = {"union": greater, "static_priority": F.col("ws"), "dynamic_priority": F.col("wd")}[strategy]
     edges = both.withColumn("weight", F.when(F.col("conflict"), chosen).otherwise(greater))
     ids = nodes.select(F.col("id").alias("__n"))
-    edges = edges.join(ids, F.col("source_id") == F.col("__n"), "left_semi").join(ids, F.col("target_id") == F.col("__n"), "left_semi")
-    found = edges.filter("conflict").select(*key, "ws", "wd", "weight")
-    return PropertyGraph(nodes, edges.select(edge_id().alias("id"), *key, "weight")), found
+    return edges.join(ids, F.col("source_id") == F.col("__n"), "left_semi").join(ids, F.col("target_id") == F.col("__n"), "left_semi")
+
+
+def merge(static: PropertyGraph, dynamic: PropertyGraph, *, strategy: str = "union", tolerance: float = 0.1) -> tuple[PropertyGraph, DataFrame]:
+    """Both graphs, nodes of ``static`` first by id, and the conflicts: edges whose weights differ by more than ``tolerance``.
+
+    A conflicting edge gets the greater weight (union), the static (static_priority) or the dynamic one (dynamic_priority), any other the greater. Edges without their ends are dropped.
+    """
+    nodes = merged_nodes(static, dynamic)
+    edges = merged_edges(static, dynamic, nodes, strategy=strategy, tolerance=tolerance)
+    key = ["source_id", "target_id", "kind"]
+    return PropertyGraph(nodes, edges.select(edge_id().alias("id"), *key, "weight")), edges.filter("conflict").select(*key, "ws", "wd", "weight")
 
 
 def merge_all(graphs: list[PropertyGraph]) -> PropertyGraph:

@@ -55,6 +55,11 @@ def _rows(df: DataFrame, kind: str | Column, *, fragment: Column | None = None,
     return {"df": df, "kind": F.lit(kind) if isinstance(kind, str) else kind, "fragment": fragment, "edges": edges, "confidence": confidence, "certainty": certainty}
 
 
+def _where(condition: Column, kind: str | Column, **more) -> dict:
+    """A rule that looks at the profile of one node only."""
+    return _rows(None, kind, **more) | {"where": condition}
+
+
 def _match(name: str, graph: PropertyGraph, p: DataFrame) -> dict:
     kind, lower = F.col("kind"), F.lower("name")
     is_callable = kind.isin(CALLABLE)
@@ -62,7 +67,7 @@ def _match(name: str, graph: PropertyGraph, p: DataFrame) -> dict:
     e = graph.edges
 
     if name == "read_only_input":
-        return _rows(p.filter((kind == "module") & (F.col("out_reads") > 0) & (F.col("out_writes") == 0)), "observation")
+        return _where((kind == "module") & (F.col("out_reads") > 0) & (F.col("out_writes") == 0), "observation")
     if name == "mutating_subsystem":
         at = e.filter(F.col("kind").isin("writes", "mutates"))
         ends = at.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"), F.col("id").alias("e"))
@@ -86,32 +91,31 @@ def _match(name: str, graph: PropertyGraph, p: DataFrame) -> dict:
         return _rows(found, "data_flow", fragment=F.concat(F.array("id"), "rs", "ws"))
     if name == "observation":
         word = kw.token_match(F.col("words"), kw.OBSERVATION_KEYWORDS)
-        found = p.filter(is_callable & (mutating == 0) & (word | (F.col("out_reads") > 0)))
-        return _rows(found, "observation", confidence=F.when(word, 0.85).otherwise(0.70))
+        return _where(is_callable & (mutating == 0) & (word | (F.col("out_reads") > 0)), "observation", confidence=F.when(word, 0.85).otherwise(0.70))
     if name == "action":
-        return _rows(p.filter(is_callable & (kw.token_match(F.col("words"), kw.ACTION_KEYWORDS) | (mutating >= 1))), "action")
+        return _where(is_callable & (kw.token_match(F.col("words"), kw.ACTION_KEYWORDS) | (mutating >= 1)), "action")
     if name == "policy":
         calls = _targets(graph, "contains").filter("t_name = '__call__'").select("id", F.lit(True).alias("callable")).distinct()
         word = kw.token_match(F.col("words"), kw.POLICY_NAMES)
         return _rows(p.join(calls, "id", "left").filter(((kind == "class") & (word | F.coalesce("callable", F.lit(False)))) | (is_callable & word)), "policy")
     if name == "preference":
-        return _rows(p.filter(kind.isin("class", *CALLABLE) & kw.token_match(F.col("words"), kw.CONSTRAINT_NAMES)), "constraint")
+        return _where(kind.isin("class", *CALLABLE) & kw.token_match(F.col("words"), kw.CONSTRAINT_NAMES), "constraint")
     if name == "context":
         word = kw.token_match(F.col("words"), kw.CONTEXT_NAMES)
         reader = (F.col("out_reads") > 0) & (F.col("out_writes") == 0) & (F.col("out_returns") > 0)
-        return _rows(p.filter(((kind == "class") & word) | ((kind == "function") & (word | reader))), "context")
+        return _where(((kind == "class") & word) | ((kind == "function") & (word | reader)), "context")
     if name == "config":
-        return _rows(p.filter(kind == "configuration"), "context")
+        return _where(kind == "configuration", "context")
     if name == "feature_flag":
-        return _rows(p.filter(kind == "feature_flag"), "context")
+        return _where(kind == "feature_flag", "context")
     if name == "parameter":
-        found = p.filter(((kind == "variable") & kw.contains_any("name", kw.PARAMETER_NAMES)) | ((kind == "class") & kw.contains_any("name", kw.PARAMETER_CLASS_NAMES)))
-        return _rows(found, "context", certainty=F.when(kind == "variable", 0.90).otherwise(0.85))
+        named = ((kind == "variable") & kw.contains_any("name", kw.PARAMETER_NAMES)) | ((kind == "class") & kw.contains_any("name", kw.PARAMETER_CLASS_NAMES))
+        return _where(named, "context", certainty=F.when(kind == "variable", 0.90).otherwise(0.85))
     if name == "orchestrator":
         callees = e.filter("kind = 'calls'").groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list("target_id")).alias("ts"))
         return _rows(p.filter(kind.isin("class", *CALLABLE) & (F.col("out_calls") >= 3)).join(callees, "id"), "orchestration", fragment=F.concat(F.array("id"), "ts"))
     if name == "test_assertion":
-        return _rows(p.filter((kind == "function") & F.contains(lower, F.lit("test")) & (F.col("out_calls") >= 1)), "constraint")
+        return _where((kind == "function") & F.contains(lower, F.lit("test")) & (F.col("out_calls") >= 1), "constraint")
     if name == "event_bus":
         ends = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct()
         return _rows(p.filter(kind == "event").join(ends, "id", "left_semi"), "observation")
@@ -119,16 +123,16 @@ def _match(name: str, graph: PropertyGraph, p: DataFrame) -> dict:
         member = _targets(graph, "contains").filter("lower(t_name) IN ('on_enter', 'on_exit') OR (t_kind = 'variable' AND contains(lower(t_name), 'state'))").select("id", F.lit(True).alias("member")).distinct()
         return _rows(p.filter(kind == "class").join(member, "id", "left").filter(kw.contains_any("name", kw.STATE_NAMES) | F.coalesce("member", F.lit(False))), "policy")
     if name == "retry_pattern":
-        return _rows(p.filter(is_callable & kw.contains_any("name", kw.RETRY_NAMES)), "policy")
+        return _where(is_callable & kw.contains_any("name", kw.RETRY_NAMES), "policy")
     if name == "error_boundary":
-        return _rows(p.filter(is_callable & (F.col("out_catches") + F.col("out_throws") > 0)), "error_handling")
+        return _where(is_callable & (F.col("out_catches") + F.col("out_throws") > 0), "error_handling")
     if name == "singleton_access":
         readers = graph.nodes.select(F.col("id").alias("source_id"), F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", "^(.*)/", 1)).otherwise(F.col("path")).alias("dir"))
         count = e.filter("kind = 'reads'").join(readers, "source_id", "left").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dir").alias("dirs"), F.array_sort(F.collect_list("source_id")).alias("rs"))
         return _rows(p.filter(kind.isin("variable", "class")).join(count, "id").filter("n >= 3 AND dirs >= 3"), "context")
     if name == "circuit_breaker":
         text = F.concat_ws(" ", "name", F.to_json("metadata")) if "metadata" in p.columns else F.col("name")
-        return _rows(p.filter(kind.isin("class", *CALLABLE) & (F.col("out_guards") > 0) & kw.contains_any(text, kw.CIRCUIT_NAMES)), "circuit_breaker")
+        return _where(kind.isin("class", *CALLABLE) & (F.col("out_guards") > 0) & kw.contains_any(text, kw.CIRCUIT_NAMES), "circuit_breaker")
     if name == "rate_limiter":
         # the ids of called nodes are searched, not their names
         waits = e.filter("kind = 'calls' AND (contains(lower(target_id), 'sleep') OR contains(lower(target_id), 'backoff'))").select(F.col("source_id").alias("id"), F.lit(True).alias("waits")).distinct()
@@ -137,24 +141,34 @@ def _match(name: str, graph: PropertyGraph, p: DataFrame) -> dict:
     raise KeyError(name)
 
 
-def matches(graph: PropertyGraph, name: str, profile: DataFrame | None = None) -> DataFrame:
-    """The matches of one rule."""
+def _columns(name: str, m: dict) -> list[Column]:
+    """What a match of the rule is, in columns of its rows."""
     r = BY_NAME[name]
-    m = _match(name, graph, profiled(graph) if profile is None else profile)
     tag = F.substring(F.sha2(F.lit(name), 256), 1, 8)
-    return m["df"].select(
+    return [
         F.lit(name).alias("rule"), F.lit(r.priority).alias("priority"), F.concat_ws("_", F.lit(r.prefix), "id", tag).alias("mapping_id"), F.col("id").alias("node_id"), m["kind"].alias("kind"),
         (F.lit(r.confidence) if m["confidence"] is None else m["confidence"]).alias("confidence"), (F.lit(r.certainty) if m["certainty"] is None else m["certainty"]).alias("certainty"),
         (F.array("id") if m["fragment"] is None else m["fragment"]).alias("node_ids"), (F.array().cast("array<string>") if m["edges"] is None else m["edges"]).alias("edge_ids"),
-    )
+    ]
+
+
+def matches(graph: PropertyGraph, name: str, profile: DataFrame | None = None) -> DataFrame:
+    """The matches of one rule."""
+    profile = profiled(graph) if profile is None else profile
+    m = _match(name, graph, profile)
+    return (profile.filter(m["where"]) if "where" in m else m["df"]).select(*_columns(name, m))
 
 
 def all_matches(graph: PropertyGraph, only: list[str] | None = None) -> DataFrame:
     """The matches of all rules (or those named), once for each mapping id: rules of higher priority come first, then registration order."""
     graph = PropertyGraph(stored(graph.nodes, "nodes"), stored(graph.edges, "edges"))  # each rule reads them
     profile = stored(profiled(graph), "profile")
-    names = [r.name for r in RULES if only is None or r.name in only]
-    return reduce(DataFrame.unionByName, [matches(graph, n, profile) for n in names])
+    found = {r.name: _match(r.name, graph, profile) for r in RULES if only is None or r.name in only}
+    parts = [m["df"].select(*_columns(n, m)) for n, m in found.items() if "where" not in m]
+    alone = [F.when(m["where"], F.struct(*_columns(n, m))) for n, m in found.items() if "where" in m]
+    if alone:  # all rules of this kind in one pass
+        parts.append(profile.select(F.explode(F.array_compact(F.array(*alone))).alias("m")).select("m.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- rules as data: each has a node kind, a name glob, a method that the node contains and a kind of outgoing edge, all optional ---

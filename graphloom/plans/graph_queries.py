@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import stored
 from graphloom.operators import graph as g
 from graphloom.plans.projection import edges, nodes, oracle
 
@@ -29,7 +30,7 @@ def whole(spark, d) -> g.PropertyGraph:
 
 def halves(spark, d) -> tuple[g.PropertyGraph, g.PropertyGraph]:
     """Two versions of the graph: without variables of one name, and without one kind of edge, heavier by a fifth on writes."""
-    n, e = nodes(spark, d), edges(spark, d)
+    n, e = stored(nodes(spark, d), "nodes"), stored(edges(spark, d), "edges")  # read several times
     a = g.PropertyGraph(n.filter("NOT name LIKE 'item%'"), e.filter("kind <> 'mutates'"))
     b = g.PropertyGraph(n.filter("kind <> 'event'").withColumn("name", F.expr("CASE WHEN kind = 'method' THEN upper(name) ELSE name END")), e.filter("kind <> 'reads'").withColumn("weight", F.expr("CASE WHEN kind = 'writes' THEN weight * 1.2 ELSE weight END")))
     return a, b
@@ -145,9 +146,7 @@ _KEY = "source_id || '|' || target_id || '|' || kind"
 )
 def merge_union(spark, d):
     a, b = halves(spark, d)
-    merged, conflicts = g.merge(a, b)
-    key = ["source_id", "target_id", "kind"]
-    return merged.edges.join(conflicts.select(*key, F.lit(True).alias("conflict")), key, "left").select(*key, F.round("weight", 6).alias("weight"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    return g.merged_edges(a, b, g.merged_nodes(a, b)).select("source_id", "target_id", "kind", F.round("weight", 6).alias("weight"), "conflict")
 
 
 @query(
