@@ -103,6 +103,18 @@ def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame, *, directe
     return seen
 
 
+def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id of the nodes that no node without incoming edges reaches: those on cycles that nothing leads into, and what only they lead to."""
+    e = stored(edges.select("source_id", "target_id").distinct(), "steps")
+    front = stored(nodes.select("id").join(e, F.col("id") == F.col("target_id"), "left_anti"), "entries")
+    seen = front
+    while not front.isEmpty():
+        near = front.join(e, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id")).distinct()
+        front = stored(near.join(seen, "id", "left_anti"), "front")
+        seen = seen.union(front)
+    return nodes.select("id").join(seen, "id", "left_anti")
+
+
 def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, closeness: reached nodes over the sum of their distances (0 if none is reached)."""
     d = distances(nodes, edges, nodes).filter("distance > 0")

@@ -212,6 +212,38 @@ def merge(static: PropertyGraph, dynamic: PropertyGraph, *, strategy: str = "uni
     return PropertyGraph(nodes, edges.select(edge_id().alias("id"), *key, "weight")), edges.filter("conflict").select(*key, "ws", "wd", "weight")
 
 
+def incremental_merge(base: PropertyGraph, delta: PropertyGraph) -> PropertyGraph:
+    """``base`` with the changes of ``delta``: new nodes and edges are added, known nodes keep their columns and take over entries of ``metadata`` (a map, if there is one),
+    known edges get the greater weight and the evidence of both (``evidence_sources``, if there are any). Edges without their ends are dropped.
+    """
+    nodes = merged_nodes(base, delta)
+    if "metadata" in nodes.columns:
+        newer = delta.nodes.select("id", F.col("metadata").alias("__new"))
+        kept = F.map_filter("metadata", lambda k, v: ~F.coalesce(F.map_contains_key("__new", k), F.lit(False)))
+        columns = nodes.columns
+        nodes = nodes.join(newer, "id", "left").withColumn("metadata", F.when(F.col("__new").isNull(), F.col("metadata")).when(F.col("metadata").isNull(), F.col("__new")).otherwise(F.map_concat(kept, "__new"))).select(columns)
+    edges = merged_edges(base, delta, nodes)
+    key = ["source_id", "target_id", "kind"]
+    more = []
+    if "evidence_sources" in base.edges.columns:
+        more = ["evidence_sources"]
+        both = base.edges.select(*key, "evidence_sources").unionByName(delta.edges.select(*key, "evidence_sources"))
+        edges = edges.join(both.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_sources")))).alias("evidence_sources")), key)
+    return PropertyGraph(nodes, edges.select(edge_id().alias("id"), *key, "weight", *more))
+
+
+def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """path, module, target: the known module of the longest dotted prefix of each imported name, other than the importing one.
+
+    ``imports``: path, module (the name), importer (the name of the importing module, may be null); ``modules``: name. Names without a known prefix are left out.
+    """
+    parts = F.split("module", r"\.")
+    tried = imports.select("path", "module", "importer", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n")).withColumn("name", F.array_join(F.slice(parts, F.lit(1), F.col("n")), "."))
+    known = modules.select("name").distinct()
+    found = tried.filter(~F.col("name").eqNullSafe(F.col("importer"))).join(known, "name")
+    return found.groupBy("path", "module").agg(F.max_by("name", "n").alias("target"))
+
+
 def merge_all(graphs: list[PropertyGraph]) -> PropertyGraph:
     if not graphs:
         raise ValueError("no graphs to merge")

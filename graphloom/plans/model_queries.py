@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import blanket, confidence, graph, process, statespace, temporal, traces, validate
-from graphloom.plans.graph_queries import _DEG, _ENDS, whole
+from graphloom.operators import blanket, components, confidence, graph, process, statespace, temporal, traces, validate
+from graphloom.plans.graph_queries import _DEG, _ENDS, HALVES, halves, whole
 from graphloom.plans.projection import oracle, tables
 
 QUERIES: dict = {}
@@ -131,3 +131,43 @@ def stages_in_range(spark, d):
 @query("SELECT max(begins + duration) AS total FROM p JOIN s ON s.stage = p.stage", **_STAGES)
 def total_duration(spark, d):
     return process.total_duration(_timeline(spark, d))
+
+
+@query(
+    "SELECT id FROM n WHERE id NOT IN (SELECT id FROM r)",
+    n="SELECT * FROM nodes WHERE kind <> 'module'",
+    e="SELECT * FROM edges WHERE kind IN ('contains', 'throws', 'returns') AND source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)",
+    r="SELECT id FROM n WHERE id NOT IN (SELECT target_id FROM e) UNION SELECT target_id FROM r JOIN e ON source_id = r.id",
+)
+def unreachable_nodes(spark, d):
+    g = whole(spark, d)
+    some = graph.PropertyGraph(g.nodes, g.edges.filter("kind IN ('contains', 'throws', 'returns')"))
+    g = graph.induced(some, some.nodes.filter("kind <> 'module'"))
+    return components.unreachable(g.nodes, g.edges)
+
+
+@query(
+    "SELECT i.path, module, arg_max(n.qualified_name, length(n.qualified_name)) AS target FROM i JOIN nodes n ON n.kind IN ('module', 'class') AND n.qualified_name <> importer AND starts_with(module || '.', n.qualified_name || '.') GROUP BY i.path, module",
+    i="SELECT id AS path, replace(path, '/', '.') || '.' || name AS module, lower(name) AS importer FROM nodes WHERE kind IN ('function', 'method', 'variable') UNION ALL SELECT id, qualified_name, qualified_name FROM nodes WHERE kind = 'class'",
+)
+def import_targets(spark, d):
+    n = whole(spark, d).nodes
+    i = n.filter("kind IN ('function', 'method', 'variable')").selectExpr("id AS path", "replace(path, '/', '.') || '.' || name AS module", "lower(name) AS importer")
+    i = i.union(n.filter("kind = 'class'").select("id", "qualified_name", "qualified_name"))
+    return graph.resolve_imports(i, n.filter("kind IN ('module', 'class')").select(F.col("qualified_name").alias("name")))
+
+
+@query(
+    "SELECT 'node' AS what, coalesce(a.id, b.id) AS key, coalesce(a.name, b.name) || '|' || coalesce(upper(b.name), a.name) || '|' || CASE WHEN a.id IS NULL THEN '' ELSE a.kind END AS value, NULL AS weight FROM na a FULL JOIN nb b ON a.id = b.id "
+    "UNION ALL SELECT 'edge', source_id || '|' || target_id || '|' || kind, '', round(greatest(coalesce(a.weight, b.weight), coalesce(b.weight, a.weight)), 6) FROM ea a FULL JOIN eb b USING (source_id, target_id, kind) "
+    "WHERE source_id IN (SELECT id FROM na UNION SELECT id FROM nb) AND target_id IN (SELECT id FROM na UNION SELECT id FROM nb)",
+    **HALVES,
+)
+def incremental_merge(spark, d):
+    a, b = halves(spark, d)
+    a = graph.PropertyGraph(a.nodes.withColumn("metadata", F.create_map(F.lit("name"), "name", F.lit("kind"), "kind")), a.edges)
+    b = graph.PropertyGraph(b.nodes.withColumn("metadata", F.create_map(F.lit("name"), F.upper("name"))), b.edges)
+    g = graph.incremental_merge(a, b)
+    value = F.concat("name", F.lit("|"), F.col("metadata")["name"], F.lit("|"), F.coalesce(F.col("metadata")["kind"], F.lit("")))
+    nodes = g.nodes.select(F.lit("node").alias("what"), F.col("id").alias("key"), value.alias("value"), F.lit(None).cast("double").alias("weight"))
+    return nodes.union(g.edges.select(F.lit("edge"), F.concat_ws("|", "source_id", "target_id", "kind"), F.lit(""), F.round("weight", 6)))

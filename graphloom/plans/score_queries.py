@@ -127,6 +127,7 @@ def _code(name: str, f):
 
 _code("code_facts", lambda f: f.filter("fact NOT IN ('operator', 'operand', 'use')"))
 _code("code_halstead", code.halstead)
+_code("code_cognitive", code.cognitive)
 _code("code_dead", code.dead_code)
 _code("code_hotspots", lambda f: code.hotspots(f, 3))
 _code("code_entry_points", code.entry_points)

@@ -29,6 +29,23 @@ def _decisions(body: list[ast.stmt]) -> int:
     return points
 
 
+def nesting_cost(body: list[ast.stmt]) -> int:
+    """Cognitive complexity: one for each branch, loop, try and handler, and one more for each level that it (or a ``with``) lies deeper than the second."""
+    branching = (ast.If, ast.For, ast.While, ast.AsyncFor, ast.Try, ast.ExceptHandler)
+    cost, todo = 0, [(x, 0) for x in body]
+    while todo:
+        x, depth = todo.pop()
+        nests = isinstance(x, (*branching, ast.With))
+        if nests:
+            cost += isinstance(x, branching) + max(0, depth - 1)
+        for child in ast.iter_child_nodes(x):
+            if isinstance(child, ast.ExceptHandler):
+                todo.append((child, depth))  # a handler stands beside its try
+            elif isinstance(child, ast.stmt):
+                todo.append((child, depth + nests))
+    return cost
+
+
 def _dotted(x: ast.expr) -> str:
     try:
         return ast.unparse(x)
@@ -48,6 +65,7 @@ def facts_of(path: str, text: str) -> list[tuple]:
 
     def function(node, owner):
         add("method" if owner else "function", node.name, owner, ",".join(a.arg for a in node.args.args), node, float(_decisions(node.body)))
+        add("cognitive", node.name, owner, None, node, float(nesting_cost(node.body)))
 
     for node in tree.body:
         if isinstance(node, functions):
@@ -142,6 +160,11 @@ def hotspots(f: DataFrame, least: int = 10) -> DataFrame:
     return f.filter("fact IN ('function', 'method')").filter(F.col("value") >= least).select("path", "owner", "name", F.col("value").cast("int").alias("complexity"))
 
 
+def cognitive(f: DataFrame) -> DataFrame:
+    """path, owner, name, line, cost of every function and method."""
+    return f.filter("fact = 'cognitive'").select("path", "owner", "name", "line", F.col("value").cast("long").alias("cost"))
+
+
 def entry_points(f: DataFrame) -> DataFrame:
     """path, fact, name of public functions, methods and classes."""
     return f.filter("fact IN ('function', 'method', 'class')").filter(~F.col("name").startswith("_")).select("path", "fact", "name")

@@ -9,7 +9,7 @@ from graphloom.plans import registry
 
 D = "/root/testdata/sf0.001"
 FAST = [n for n in registry.oracle_sql() if not n.startswith("rule_") and n not in ("translate_scored", "scoring_report", "mapping_coverage")][::4] + ["rule_observation", "rule_containment"]
-FAST = list(dict.fromkeys(FAST + ["remove_edges", "weighted_adjacency", "class_cardinality", "top_states", "metric_summary", "low_confidence", "conflicted_mappings", "mappings_by_tier", "mappings_by_kind", "likelihood_scalars", "trace_summary", "state_variables", "action_effects", "confident_mappings", "process_timeline", "module_seeds", "validation_score"]))
+FAST = list(dict.fromkeys(FAST + ["remove_edges", "weighted_adjacency", "class_cardinality", "top_states", "metric_summary", "low_confidence", "conflicted_mappings", "mappings_by_tier", "mappings_by_kind", "likelihood_scalars", "trace_summary", "state_variables", "action_effects", "confident_mappings", "process_timeline", "module_seeds", "validation_score", "unreachable_nodes", "import_targets", "incremental_merge"]))
 
 
 @pytest.fixture(scope="module")

@@ -126,3 +126,15 @@ def test_review_splits_and_merges(spark):
     assert sorted(r.mapping_id for r in confidence.split(m, parts).collect()) == ["map00001x_split_0", "map00001x_split_1", "map00002y"]
     merged = confidence.joined(m, spark.createDataFrame([("map00001x", 1), ("map00002y", 1)], "mapping_id string, grp int")).first()
     assert (merged.mapping_id, merged.kind, merged.node_ids) == ("merged_map00001_map00002", "policy", ["1", "2", "3"])
+
+
+def test_cognitive_complexity_counts_nesting():
+    import ast
+
+    from graphloom.sources.python_code import nesting_cost
+
+    cost = lambda text: nesting_cost(ast.parse(text).body)
+    assert cost("x = 1") == 0 and cost("if a:\n  pass\nelse:\n  pass") == 1
+    assert cost("if a:\n  for b in c:\n    while d:\n      pass") == 1 + 1 + 2
+    assert cost("try:\n  if a: pass\nexcept E:\n  if b:\n    with c:\n      pass\nfinally:\n  pass") == 1 + 1 + 1 + 1 + 1
+    assert cost("def f():\n  if a: pass") == 1
