@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import fingerprints, kneser_ney, line_templates, masked_lm, mixing, quality_rules, sentencepiece_nbest, simhash, token_orc, url_filter
+from graphloom.llm import fingerprints, kneser_ney, line_templates, masked_lm, mixing, quality_rules, sentencepiece_nbest, simhash, source_divergence, token_orc, url_filter
 
 
 def queries() -> dict:
@@ -18,10 +18,11 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_line_templates": line_templates.op9_line_templates,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_source_divergence": source_divergence.op11_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return piped | {"op4_mixing": mixing.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    return piped | {"op4_mixing": mixing.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL, "op11_source_divergence": source_divergence.OP11_SQL}
