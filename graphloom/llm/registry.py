@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import fingerprints, importance_resampling, kneser_ney, line_templates, masked_lm, mixing, quality_rules, sentencepiece_nbest, simhash, source_divergence, token_orc, url_filter
+from graphloom.llm import fingerprints, importance_resampling, kneser_ney, line_templates, masked_lm, mixing, personal_data, quality_rules, sentencepiece_nbest, simhash, source_divergence, token_orc, url_filter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_source_divergence": source_divergence.op11_source_divergence,
         "op12_importance_resampling": importance_resampling.op12_importance_resampling,
+        "op13_personal_data": personal_data.op13_personal_data,
         "pipeline": corpus_pipeline.run,
     }
 
