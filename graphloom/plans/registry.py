@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graph_queries", "rule_queries", "path_queries", "score_queries", "temporal_queries", "model_queries"]
+MODULES = ["graph_queries", "rule_queries", "path_queries", "score_queries", "temporal_queries", "model_queries", "analysis_queries"]
 
 
 def _gathered(name: str) -> dict:
