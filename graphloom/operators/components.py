@@ -178,8 +178,8 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, ma
     return done
 
 
-def simple_cycles(edges: DataFrame, *, max_nodes: int = 10) -> DataFrame:
-    """nodes (sorted), path of directed cycles of at most ``max_nodes`` nodes, one for each set of nodes (the smallest path).
+def simple_cycles(edges: DataFrame, *, max_nodes: int = 10, each_order: bool = False) -> DataFrame:
+    """nodes (sorted), path of directed cycles of at most ``max_nodes`` nodes, one for each set of nodes (the smallest path) or, with ``each_order``, every one.
 
     A cycle is found from its smallest node only, so each is walked once.
     """
@@ -193,6 +193,8 @@ def simple_cycles(edges: DataFrame, *, max_nodes: int = 10) -> DataFrame:
         open_ = step.filter("v > path[0] AND NOT array_contains(path, v)").select(F.concat("path", F.array("v")).alias("path"))
         if step.isEmpty():
             break
+    if each_order:
+        return done.select(F.array_sort("path").alias("nodes"), "path")
     return done.select(F.array_sort("path").alias("nodes"), "path").groupBy("nodes").agg(F.min("path").alias("path"))
 
 

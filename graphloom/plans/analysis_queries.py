@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.storage import stored
-from graphloom.operators import enrichment
+from graphloom.operators import betweenness as between
+from graphloom.operators import communities as community
+from graphloom.operators import enrichment, flows, schedule
 from graphloom.operators.graph import PropertyGraph
-from graphloom.plans.path_queries import _DEPTH, _TIME, trace
-from graphloom.plans.projection import oracle, tables
+from graphloom.plans.graph_queries import whole
+from graphloom.plans.path_queries import _DEPTH, _TIME, hand, trace
+from graphloom.plans.projection import HANDOVERS, oracle, plain, tables
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +95,105 @@ def enriched_nodes(spark, d):
 def enriched_edges(spark, d):
     g = enrichment.enriched(_functions(spark, d), events=_traced(spark, d))
     return g.edges.select("source_id", "target_id", "weight", F.array_contains(F.coalesce("evidence_sources", F.array().cast("array<string>")), "dynamic_trace").alias("dynamic"))
+
+
+# --- communities, sampled centralities ---
+
+
+@query()
+def communities(spark, d):
+    g = hand(spark, d)
+    return community.communities(g.nodes, g.edges)
+
+
+@query("SELECT round(sum(own) / sum(s) - sum(s * s) / (sum(s) * sum(s)), 9) AS modularity FROM (SELECT a.kind AS c, sum(w) AS s, sum(CASE WHEN a.kind = b.kind THEN w ELSE 0 END) AS own FROM (SELECT source_id AS u, target_id AS v, weight AS w FROM edges UNION ALL SELECT target_id, source_id, weight FROM edges) e JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v GROUP BY a.kind)", graph=True)
+def kind_modularity(spark, d):
+    g = whole(spark, d)
+    return spark.createDataFrame([(round(community.modularity(g.edges, g.nodes.select("id", F.col("kind").alias("community"))), 9),)], "modularity double")
+
+
+@query()
+def sampled_betweenness(spark, d):
+    g = hand(spark, d)
+    return between.betweenness(g.nodes, g.edges, sample=32).select("id", F.round("score", 9).alias("score"))
+
+
+# --- flows and loops ---
+
+_FLOW = "kind IN ('contains', 'reads', 'writes') AND NOT (source_id LIKE 's:%' AND target_id LIKE 'n:%') AND NOT (source_id LIKE 'r:%' AND kind = 'reads')"
+
+
+@query(
+    "SELECT source, sink, path FROM p WHERE cur = sink", graph=True, f=f"SELECT DISTINCT source_id AS u, target_id AS v FROM edges WHERE {_FLOW}",
+    lead="SELECT v AS sink, v AS node FROM f WHERE v NOT IN (SELECT u FROM f) AND v LIKE 'p:%' UNION SELECT sink, u FROM lead JOIN f ON v = node",
+    p="SELECT node AS source, sink, node AS cur, node AS path FROM lead WHERE node NOT IN (SELECT v FROM f) UNION ALL SELECT source, p.sink, v, path || '>' || v FROM p JOIN f ON u = cur JOIN lead ON lead.node = v AND lead.sink = p.sink WHERE cur <> p.sink",
+)
+def taint_paths(spark, d):
+    g = whole(spark, d)
+    e = stored(g.edges.filter(_FLOW).select("source_id", "target_id"), "flow")
+    out = flows.taint_paths(e, None, flows.flow_sinks(e).filter("id LIKE 'p:%'"))
+    return out.select("source", "sink", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    "SELECT source_id || '>' || source_id AS loop FROM e WHERE source_id = target_id UNION ALL SELECT a.source_id || '>' || a.target_id || '>' || a.source_id FROM e a JOIN e b ON b.source_id = a.target_id AND b.target_id = a.source_id WHERE a.source_id < a.target_id "
+    "UNION ALL SELECT a.source_id || '>' || b.source_id || '>' || c.source_id || '>' || a.source_id FROM e a JOIN e b ON b.source_id = a.target_id JOIN e c ON c.source_id = b.target_id AND c.target_id = a.source_id WHERE a.source_id < b.source_id AND a.source_id < c.source_id AND b.source_id <> c.source_id",
+    e=plain(HANDOVERS),
+)
+def feedback_loops(spark, d):
+    return flows.feedback_loops(hand(spark, d).edges, kinds=None, max_nodes=3).select(F.array_join("loop", ">").alias("loop"))
+
+
+@query(
+    "SELECT source_id, target_id FROM e WHERE source_id IN (SELECT id FROM r JOIN cyc ON root = c UNION SELECT c FROM cyc) AND target_id IN (SELECT root FROM r JOIN cyc ON id = c UNION SELECT c FROM cyc)",
+    e=plain(HANDOVERS), r="SELECT source_id AS root, target_id AS id FROM e UNION SELECT root, target_id FROM r JOIN e ON source_id = id", cyc="SELECT root AS c FROM r WHERE root = id",
+)
+def loop_core(spark, d):
+    return flows.loop_core(hand(spark, d).edges)
+
+
+# --- critical paths: stages are the nodes of the containment, their durations the lengths of their names ---
+
+_STEPS = "kind IN ('contains', 'calls', 'triggers')"
+_LONG = {
+    "du": "SELECT id AS stage, CAST(length(name) AS DOUBLE) AS duration FROM nodes", "li": f"SELECT DISTINCT source_id AS u, target_id AS v FROM edges WHERE {_STEPS}",
+    "up": "SELECT stage, duration AS length FROM du WHERE stage NOT IN (SELECT u FROM li) UNION SELECT u, duration + length FROM up JOIN li ON v = up.stage JOIN du ON du.stage = u",
+    "lo": "SELECT stage, max(length) AS length FROM up GROUP BY stage",
+    "nx": "SELECT u AS stage, min(v) AS next FROM (SELECT u, v, length, max(length) OVER (PARTITION BY u) AS m FROM li JOIN lo ON stage = v) WHERE length = m GROUP BY u",
+    "walk": "SELECT stage AS entry, CAST(0 AS BIGINT) AS position, stage FROM (SELECT stage FROM lo ORDER BY length DESC, stage LIMIT 1) UNION ALL SELECT entry, position + 1, next FROM walk JOIN nx USING (stage)",
+}
+
+
+def _process(spark, d):
+    g = whole(spark, d)
+    return g.nodes.select(F.col("id").alias("stage"), F.length("name").cast("double").alias("duration")), g.edges.filter(_STEPS).select(F.col("source_id").alias("source_stage"), F.col("target_id").alias("target_stage"))
+
+
+@query("SELECT stage, length, next FROM lo LEFT JOIN nx USING (stage)", graph=True, **_LONG)
+def longest_paths(spark, d):
+    return schedule.longest_paths(*_process(spark, d))
+
+
+@query("SELECT entry, position, stage, length AS remaining FROM walk JOIN lo USING (stage)", graph=True, **_LONG)
+def critical_path(spark, d):
+    return schedule.critical_path(*_process(spark, d))
+
+
+@query(
+    "SELECT position, w.id FROM w JOIN own USING (id, entry) WHERE entry = (SELECT entry FROM own GROUP BY entry ORDER BY count(*) DESC, entry LIMIT 1)", graph=True,
+    st="SELECT source_id AS id, target_id AS next FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, id) AS r FROM edges) WHERE r = 1",
+    w="SELECT id AS entry, id, CAST(0 AS BIGINT) AS position FROM nodes WHERE id NOT IN (SELECT target_id FROM edges) UNION ALL SELECT entry, next, position + 1 FROM w JOIN st USING (id) WHERE position < 40",
+    own="SELECT id, min(entry) AS entry FROM w GROUP BY id",
+)
+def greedy_critical_path(spark, d):
+    n, e = stored(whole(spark, d).nodes.select("id"), "nodes"), stored(whole(spark, d).edges, "edges")
+    return schedule.greedy_critical_path(n, e)
+
+
+@query()
+def parallel_groups(spark, d):
+    o = tables(spark, d)["orders"]
+    stage = F.concat(F.lit("o:"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    s = o.select(stage.alias("stage"), F.expr("CAST(year(o_orderdate) * 12 + month(o_orderdate) AS DOUBLE)").alias("start"), "o_custkey", "o_orderkey")
+    links = s.withColumn("target_stage", F.lead("stage").over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey"))).filter("target_stage IS NOT NULL")
+    return schedule.parallel_groups(s.select("stage", "start"), links.select(F.col("stage").alias("source_stage"), "target_stage"))
