@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.resolution import resolutions
+
 MIN_CONFIDENCE = 0.4
 
 
@@ -94,36 +96,12 @@ def report(mappings: DataFrame) -> DataFrame:
     return mappings.groupingSets([["kind", "tier"], ["kind"], ["tier"], []], "kind", "tier").agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.min("score").alias("least"), F.max("score").alias("greatest"))
 
 
-def resolved(mappings: DataFrame, components: DataFrame) -> DataFrame:
+def resolved(mappings: DataFrame) -> DataFrame:
     """The mappings that stay when those that share a node are played off against each other, pair by pair in the order of their ids.
 
-    Of a pair that is still there, the one with the greater (priority, confidence) stays, of equals the first. ``components``: mapping_id, component, of mappings
-    that share nodes directly or through others; the outcome within one doesn't depend on the others, so each is played in one task.
+    Of a pair that is still there, the one with the greater (priority, confidence) stays, of equals the first. ``resolution.resolutions`` says who dropped whom.
     """
-    def play(frame):
-        rows = frame.sort_values("mapping_id").to_dict("records")
-        at: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            for n in set(r["node_ids"]):
-                at.setdefault(n, []).append(i)
-        gone: set[int] = set()
-        for i, r in enumerate(rows):
-            if i in gone:
-                continue
-            for j in sorted({j for n in set(r["node_ids"]) for j in at[n] if j > i}):
-                if j in gone:
-                    continue
-                other = rows[j]
-                if (r["priority"], r["confidence"]) >= (other["priority"], other["confidence"]):
-                    gone.add(j)
-                else:
-                    gone.add(i)
-                    break
-        return frame.sort_values("mapping_id").iloc[[i for i in range(len(rows)) if i not in gone]][["mapping_id"]]
-
-    joined = mappings.select("mapping_id", "priority", "confidence", "node_ids").join(components, "mapping_id")
-    stay = joined.groupBy("component").applyInPandas(play, "mapping_id string")
-    return mappings.join(stay, "mapping_id", "left_semi")
+    return mappings.join(resolutions(mappings).filter("kept"), "mapping_id", "left_semi")
 
 
 def reviewed(mappings: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.storage import stored
 from graphloom.operators import betweenness as between
 from graphloom.operators import communities as community
-from graphloom.operators import enrichment, flows, schedule
+from graphloom.operators import enrichment, flows, resolution, schedule
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans.graph_queries import whole
 from graphloom.plans.path_queries import _DEPTH, _TIME, hand, trace
@@ -197,3 +197,48 @@ def parallel_groups(spark, d):
     s = o.select(stage.alias("stage"), F.expr("CAST(year(o_orderdate) * 12 + month(o_orderdate) AS DOUBLE)").alias("start"), "o_custkey", "o_orderkey")
     links = s.withColumn("target_stage", F.lead("stage").over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey"))).filter("target_stage IS NOT NULL")
     return schedule.parallel_groups(s.select("stage", "start"), links.select(F.col("stage").alias("source_stage"), "target_stage"))
+
+
+# --- conflicts and evidence: each customer's parts are a mapping, and customers share parts ---
+
+_MAPPED = {
+    "mp": "SELECT 'c:' || CAST(o_custkey AS VARCHAR) AS mapping_id, 'rule_' || CAST(o_custkey % 4 AS VARCHAR) AS rule, CASE o_custkey % 3 WHEN 0 THEN 'policy' WHEN 1 THEN 'action' ELSE 'context' END AS kind, list_sort(list(DISTINCT 'p:' || CAST(l_partkey AS VARCHAR))) AS node_ids, count(DISTINCT l_linenumber) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey",
+    "pv": "SELECT mapping_id, unnest(range(k)) AS i FROM mp",
+    "tx": "SELECT mapping_id, list(n.kind || ':' || n.qualified_name || ' (' || n.path || ')' ORDER BY i) AS t FROM (SELECT mapping_id, unnest(node_ids[1:8]) AS id, unnest(range(len(node_ids[1:8]))) AS i FROM mp) JOIN nodes n USING (id) GROUP BY mapping_id",
+    "sn": "SELECT mapping_id, list_concat(t, list_transform(range(least(k, 5)), i -> 'provenance:source_' || CAST(i AS VARCHAR)))[1:12] AS s FROM tx JOIN mp USING (mapping_id)",
+}
+
+
+def _mapped(spark, d):
+    t = tables(spark, d)
+    both = t["orders"].join(t["lineitem"], F.col("l_orderkey") == F.col("o_orderkey"))
+    m = both.groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("p:"), "l_partkey"))).alias("node_ids"), F.count_distinct("l_linenumber").alias("k"))
+    source = F.expr("transform(sequence(0, CAST(k AS INT) - 1), i -> struct(concat('source_', i) AS source, 0.5D + 0.05D * i AS confidence))")
+    return m.select(
+        F.concat(F.lit("c:"), "o_custkey").alias("mapping_id"), F.expr("concat('rule_', o_custkey % 4)").alias("rule"), F.expr("CASE o_custkey % 3 WHEN 0 THEN 'policy' WHEN 1 THEN 'action' ELSE 'context' END").alias("kind"),
+        "node_ids", source.alias("provenance"), F.expr("o_custkey % 5").alias("priority"), F.expr("0.5D + (o_custkey % 7) * 0.05D").alias("confidence"),
+    )
+
+
+@query()
+def resolve_shared(spark, d):
+    return resolution.resolutions(_mapped(spark, d))
+
+
+@query("SELECT mapping_id, rule, array_to_string(s, '; ') AS snippets, k AS evidence_count, round(0.5 + 0.025 * (k - 1), 6) AS evidence_mean FROM mp JOIN sn USING (mapping_id)", graph=True, **_MAPPED)
+def evidence_records(spark, d):
+    m = stored(_mapped(spark, d), "mappings")
+    t = resolution.evidence_trace(m, whole(spark, d).nodes)
+    return t.select("mapping_id", "rule", F.array_join("evidence_snippets", "; ").alias("snippets"), F.col("evidence_count").cast("long").alias("evidence_count"), F.round("evidence_mean", 6).alias("evidence_mean"))
+
+
+@query("SELECT 'rule' AS by, rule AS value, count(*) AS mappings FROM mp GROUP BY rule UNION ALL SELECT 'kind', kind, count(*) FROM mp GROUP BY kind UNION ALL SELECT 'status', 'auto_proposed', count(*) FROM mp", graph=True, **_MAPPED)
+def evidence_summary(spark, d):
+    return resolution.evidence_summary(resolution.evidence_trace(stored(_mapped(spark, d), "mappings"), whole(spark, d).nodes))
+
+
+@query()
+def evidence_conflicts(spark, d):
+    """The whole trace: who won, who was dropped by whom."""
+    m = stored(_mapped(spark, d), "mappings")
+    return resolution.evidence_trace(m, whole(spark, d).nodes, stored(resolution.resolutions(m), "outcome"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import keywords as kw
+from graphloom.functions.storage import stored
 from graphloom.operators import confidence as c
 from graphloom.operators import rules
 from graphloom.plans.graph_queries import whole
@@ -114,9 +115,8 @@ _SINGLE = ["observation", "action", "policy", "preference", "context", "retry_pa
 
 @query()
 def resolve_conflicts(spark, d):
-    """Fragments of one node: each node's mappings are a component."""
-    m = rules.all_matches(whole(spark, d), _SINGLE)
-    return c.resolved(m, m.select("mapping_id", F.col("node_id").alias("component"))).select("mapping_id", "node_id", "rule", "kind", "confidence")
+    m = stored(rules.all_matches(whole(spark, d), _SINGLE), "matches")
+    return c.resolved(m).select("mapping_id", "node_id", "rule", "kind", "confidence")
 
 
 @query("SELECT 'entry' AS rule, id AS node_id, 'policy' AS kind, CAST(0.9 AS DOUBLE) AS confidence FROM nodes WHERE kind = 'function' AND regexp_matches(name, '^(?:get|route)_.*[0-4]$') AND id IN (SELECT source_id FROM edges WHERE kind = 'calls') UNION ALL SELECT 'base', id, 'hidden_state', CAST(0.7 AS DOUBLE) FROM nodes WHERE kind = 'class' AND name LIKE 'Base%'")

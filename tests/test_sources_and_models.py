@@ -66,8 +66,7 @@ def test_sinks(spark, tmp_path):
 
 def test_conflicts_are_greedy_in_order_of_ids(spark):
     m = spark.createDataFrame([("a", 0, 0.5, ["1", "2"]), ("b", 0, 0.7, ["2", "3"]), ("c", 0, 0.7, ["3"]), ("d", 1, 0.1, ["9"])], "mapping_id string, priority int, confidence double, node_ids array<string>")
-    parts = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "y")], "mapping_id string, component string")
-    assert sorted(r.mapping_id for r in confidence.resolved(m, parts).collect()) == ["b", "d"]
+    assert sorted(r.mapping_id for r in confidence.resolved(m).collect()) == ["b", "d"]
 
 
 def test_blanket_roles(spark):
