@@ -31,13 +31,39 @@ def test_against_brute_force(spark):
 
 
 def test_recovers_the_differing_digests(spark):
-    pairs = spark.createDataFrame([(0, 1, 0, list(range(100)), list(range(50, 120))), (0, 2, 0, [5, 6], [6, 5]), (1, 1, 0, [], [9])], "r int, rn int, kind int, plus array<long>, minus array<long>")
+    kept = spark.createDataFrame([(0, 1, list(range(100)), list(range(50, 120)), []), (0, 2, [5, 6], [6, 5], [5, 6]), (1, 1, [], [9], [])], "r long, rn int, own array<long>, edit array<long>, next array<long>")
     got = {}
-    for part in fp.differences(pairs, first_cells=2):
+    for part in fp.differences(kept, first_cells=2):
         for row in part.collect():
-            assert (row.r, row.rn) not in got
-            got[row.r, row.rn] = {(x.digest, x.side) for x in row.found}
-    assert got == {(0, 1): {(i, 1) for i in range(50)} | {(i, -1) for i in range(100, 120)}, (1, 1): {(9, -1)}}
+            assert (row.r, row.rn, row.kind) not in got
+            got[row.r, row.rn, row.kind] = {(x.digest, x.side) for x in row.found}
+    assert got == {(0, 1, 0): {(i, 1) for i in range(50)} | {(i, -1) for i in range(100, 120)}, (0, 1, 1): {(i, 1) for i in range(100)}, (1, 1, 0): {(9, -1)}}
+
+
+def test_two_stored_sketches_are_enough(spark, tmp_path):
+    versions = {"old": [(1, list(range(400))), (2, [7])], "new": [(1, [i for i in range(406) if i % 80]), (2, [7])]}
+    for name, rows in versions.items():
+        fp.sketched(spark.createDataFrame(rows, "id long, digests array<long>"), 40, ["id"]).write.parquet(str(tmp_path / name))
+    read = {name: spark.read.parquet(str(tmp_path / name)) for name in versions}
+    signed = read["old"].selectExpr("id", "1 AS sign", "cell", "n", "x", "c").union(read["new"].selectExpr("id", "-1 AS sign", "cell", "n", "x", "c"))
+    rows = fp.peel(fp.subtracted(signed, ["id"]), 40, ["id"]).collect()
+    assert [(r.id, r.rest) for r in rows] == [(1, 0)]
+    assert {(x.digest, x.side) for x in rows[0].found} == {(i, 1) for i in range(0, 400, 80)} | {(i, -1) for i in range(400, 406) if i % 80}
+    prints = {name: {r.id: (r["size"], r.fingerprint) for r in fp.fingerprints(df, 40, ["id"]).collect()} for name, df in read.items()}
+    assert prints["old"][2] == prints["new"][2] and prints["old"][1] != prints["new"][1] and prints["old"][1][0] == 400
+
+
+def test_many_null_ids_are_several_ranges_and_no_table_is_left(spark):
+    rows = [(None, f"null {i}. more") for i in range(60)] + [(i // 2, f"text {i}. again") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = fp.with_range(docs, range_rows=5)
+    assert ranges.filter("doc_id IS NULL").select("r").distinct().count() > 5 and ranges.filter("r < 0 AND doc_id IS NOT NULL").isEmpty()
+    order = [(r.doc_id, r.text) for r in ranges.orderBy("r", "doc_id", "text").collect()]
+    assert [d for d, _ in order[60:]] == sorted(i // 2 for i in range(90))
+    after = {(r.doc_id, r.text): r.next_text for r in fp.with_next(docs, range_rows=5).collect()}
+    assert after == {order[i]: order[(i + 1) % len(order)][1] for i in range(len(order))}
+    before = {t.name for t in spark.catalog.listTables()}
+    assert fp.likeness(docs, range_rows=5).count() == 150 and {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_empty_table(spark):
