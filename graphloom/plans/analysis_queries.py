@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.storage import stored
 from graphloom.operators import betweenness as between
 from graphloom.operators import communities as community
-from graphloom.operators import enrichment, flows, resolution, schedule
+from graphloom.operators import enrichment, flows, incremental, resolution, schedule
 from graphloom.operators.graph import PropertyGraph
-from graphloom.plans.graph_queries import whole
+from graphloom.plans.graph_queries import HALVES, halves, whole
 from graphloom.plans.path_queries import _DEPTH, _TIME, hand, trace
 from graphloom.plans.projection import HANDOVERS, oracle, plain, tables
 
@@ -205,7 +205,7 @@ _MAPPED = {
     "mp": "SELECT 'c:' || CAST(o_custkey AS VARCHAR) AS mapping_id, 'rule_' || CAST(o_custkey % 4 AS VARCHAR) AS rule, CASE o_custkey % 3 WHEN 0 THEN 'policy' WHEN 1 THEN 'action' ELSE 'context' END AS kind, list_sort(list(DISTINCT 'p:' || CAST(l_partkey AS VARCHAR))) AS node_ids, count(DISTINCT l_linenumber) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey",
     "pv": "SELECT mapping_id, unnest(range(k)) AS i FROM mp",
     "tx": "SELECT mapping_id, list(n.kind || ':' || n.qualified_name || ' (' || n.path || ')' ORDER BY i) AS t FROM (SELECT mapping_id, unnest(node_ids[1:8]) AS id, unnest(range(len(node_ids[1:8]))) AS i FROM mp) JOIN nodes n USING (id) GROUP BY mapping_id",
-    "sn": "SELECT mapping_id, list_concat(t, list_transform(range(least(k, 5)), i -> 'provenance:source_' || CAST(i AS VARCHAR)))[1:12] AS s FROM tx JOIN mp USING (mapping_id)",
+    "sn": "SELECT mapping_id, list_concat(t, list_transform(range(least(k, 5)), lambda i: 'provenance:source_' || CAST(i AS VARCHAR)))[1:12] AS s FROM tx JOIN mp USING (mapping_id)",
 }
 
 
@@ -225,7 +225,7 @@ def resolve_shared(spark, d):
     return resolution.resolutions(_mapped(spark, d))
 
 
-@query("SELECT mapping_id, rule, array_to_string(s, '; ') AS snippets, k AS evidence_count, round(0.5 + 0.025 * (k - 1), 6) AS evidence_mean FROM mp JOIN sn USING (mapping_id)", graph=True, **_MAPPED)
+@query("SELECT mapping_id, rule, array_to_string(s, '; ') AS snippets, k AS evidence_count, round(CAST(0.5 + 0.025 * (k - 1) AS DOUBLE), 6) AS evidence_mean FROM mp JOIN sn USING (mapping_id)", graph=True, **_MAPPED)
 def evidence_records(spark, d):
     m = stored(_mapped(spark, d), "mappings")
     t = resolution.evidence_trace(m, whole(spark, d).nodes)
@@ -242,3 +242,31 @@ def evidence_conflicts(spark, d):
     """The whole trace: who won, who was dropped by whom."""
     m = stored(_mapped(spark, d), "mappings")
     return resolution.evidence_trace(m, whole(spark, d).nodes, stored(resolution.resolutions(m), "outcome"))
+
+
+# --- a state space kept up to date: from the first half of the graph to the second, by the files that differ ---
+
+_IM = "SELECT 'm:' || id AS mapping_id, CASE WHEN kind IN ('class', 'variable') THEN 'hidden_state' WHEN role = 'observation' THEN 'observation' WHEN role = 'action' THEN 'action' END AS kind, id AS node_id, 0.5 + CAST(length(id) AS DOUBLE) AS score FROM nb WHERE kind IN ('class', 'variable') OR role IN ('observation', 'action')"
+
+
+def _facts(g: PropertyGraph):
+    """Facts by file: each node is one, with its mapping and outgoing edges; its checksum is over both."""
+    kind = F.expr("CASE WHEN kind IN ('class', 'variable') THEN 'hidden_state' WHEN role IN ('observation', 'action') THEN role END")
+    m = g.nodes.select(F.col("id").alias("path"), F.concat(F.lit("m:"), "id").alias("mapping_id"), kind.alias("kind"), F.col("id").alias("node_id"), (F.lit(0.5) + F.length("id").cast("double")).alias("score")).filter("kind IS NOT NULL")
+    e = g.edges.select(F.col("source_id").alias("path"), "source_id", "target_id", "kind")
+    both = m.select("path", F.xxhash64("mapping_id", "kind", "score").alias("h")).union(e.select("path", F.xxhash64("target_id", "kind")))
+    return m, e, stored(both.groupBy("path").agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.expr("hex(bit_xor(h))")).alias("checksum")), "files")
+
+
+@query(
+    "SELECT part, id, other, detail, score FROM (SELECT CASE kind WHEN 'hidden_state' THEN 'variable' ELSE kind END AS part, node_id AS id, '' AS other, '' AS detail, score FROM im "
+    "UNION ALL SELECT DISTINCT CASE WHEN eb.kind IN ('writes', 'mutates') THEN 'effect' ELSE 'precondition' END, source_id, target_id, CASE WHEN eb.kind IN ('writes', 'mutates') THEN 'writes' ELSE 'reads' END, NULL "
+    "FROM eb JOIN im a ON a.node_id = source_id AND a.kind = 'action' JOIN im v ON v.node_id = target_id AND v.kind = 'hidden_state' WHERE eb.kind IN ('writes', 'mutates', 'reads', 'observes'))",
+    graph=True, **HALVES, im=_IM,
+)
+def incremental_compile(spark, d):
+    (ma, ea, fa), (mb, eb, fb) = (_facts(g) for g in halves(spark, d))
+    changes = stored(incremental.source_changes(fa, fb), "changes")
+    facts = incremental.FACTS
+    now = incremental.updated(incremental.compiled(ma, ea), incremental.facts_delta(ma, mb, changes, facts["mappings"]), incremental.facts_delta(ea, eb, changes, facts["edges"]))
+    return incremental.state_space(now)
