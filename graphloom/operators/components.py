@@ -5,6 +5,8 @@ Each step's result is written to the shared folder, so lineage stays short and n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,33 +95,62 @@ def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame, *, directe
     if not directed:
         e = e.union(e.select("v", "u"))
     e = stored(e.filter("u <> v").distinct(), "steps")
-    front = stored(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")), "front")
-    seen, step = front, 0
-    while not front.isEmpty() and (limit is None or step < limit):
+    fronts, step = [stored(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")), "front")], 0
+    while not fronts[-1].isEmpty() and (limit is None or step < limit):  # a step adds nodes or is the last
         step += 1
-        near = front.join(e, F.col("id") == F.col("u")).select("source", F.col("v").alias("id")).distinct()
-        front = stored(near.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(step).alias("distance")), "front")
-        seen = stored(seen.union(front), "seen")
-    return seen
+        near = fronts[-1].join(e, F.col("id") == F.col("u")).select("source", F.col("v").alias("id")).distinct()
+        # On a graph that is read both ways, what a front leads to lies at most one level back.
+        seen = reduce(DataFrame.union, fronts if directed else fronts[-2:])
+        fronts.append(stored(near.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(step).alias("distance")), "front"))
+    return reduce(DataFrame.union, fronts)
+
+
+def neighbourhood_sizes(nodes: DataFrame, edges: DataFrame, *, directed: bool = False, limit: int | None = None, lg_cells: int = 12) -> DataFrame:
+    """id, hop, reached: about how many nodes each node reaches in at most ``hop`` steps, itself included, by a HyperLogLog counter a node.
+
+    A hop unites the counters of a node and its neighbours: edges times a counter of fixed size, not pairs of nodes. Counts are exact up to some hundred nodes and within about
+    1 / sqrt(2 ** lg_cells) beyond. Ends when a hop changes no count, or after ``limit``.
+    """
+    e = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("v"))
+    e = stored((e if directed else e.union(e.select(F.col("v").alias("id"), F.col("id").alias("v")))).filter("id <> v").distinct(), "steps")
+    now = stored(nodes.groupBy("id").agg(F.hll_sketch_agg("id", lg_cells).alias("sketch")).withColumn("reached", F.lit(1).cast("long")), "counters")
+    done, hop, total = [now.select("id", F.lit(0).alias("hop"), "reached")], 0, None
+    while limit is None or hop < limit:
+        hop += 1
+        both = now.select("id", "sketch").union(e.join(now.select(F.col("id").alias("v"), "sketch"), "v").select("id", "sketch"))
+        now = stored(both.groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")).withColumn("reached", F.hll_sketch_estimate("sketch")), "counters")
+        before, total = total, now.agg(F.sum("reached")).first()[0]
+        if total == before or not total:
+            break
+        done.append(now.select("id", F.lit(hop).alias("hop"), "reached"))
+    return reduce(DataFrame.union, done)
+
+
+def approximate_closeness(nodes: DataFrame, edges: DataFrame, *, directed: bool = False, lg_cells: int = 12) -> DataFrame:
+    """id, closeness of every node, from the counts of ``neighbourhood_sizes``: other nodes reached over the sum of their distances (0 if none)."""
+    sizes = neighbourhood_sizes(nodes, edges, directed=directed, lg_cells=lg_cells)
+    # The sum of distances is the sum over hops of the nodes that lie beyond.
+    per = sizes.groupBy("id").agg(F.max("reached").alias("all"), F.sum("reached").alias("sum"), F.count(F.lit(1)).alias("hops"))
+    far = F.col("hops") * F.col("all") - F.col("sum")
+    return per.select("id", F.when(far > 0, (F.col("all") - 1) / far).otherwise(0.0).alias("closeness"))
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id of the nodes that no node without incoming edges reaches: those on cycles that nothing leads into, and what only they lead to."""
     e = stored(edges.select("source_id", "target_id").distinct(), "steps")
-    front = stored(nodes.select("id").join(e, F.col("id") == F.col("target_id"), "left_anti"), "entries")
-    seen = front
-    while not front.isEmpty():
-        near = front.join(e, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id")).distinct()
-        front = stored(near.join(seen, "id", "left_anti"), "front")
-        seen = seen.union(front)
-    return nodes.select("id").join(seen, "id", "left_anti")
-
-
-def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, closeness: reached nodes over the sum of their distances (0 if none is reached)."""
-    d = distances(nodes, edges, nodes).filter("distance > 0")
+    fronts = [stored(nodes.select("id").join(e, F.col("id") == F.col("target_id"), "left_anti"), "entries")]
+    while not fronts[-1].isEmpty():  # a step adds nodes or is the last
+        near = fronts[-1].join(e, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id")).distinct()
+        fronts.append(stored(near.join(reduce(DataFrame.union, fronts), "id", "left_anti"), "front"))
+    return nodes.select("id").join(reduce(DataFrame.union, fronts), "id", "left_anti")
+
+
+def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """id, closeness of ``sources`` (None: of all nodes, which takes all pairs): reached nodes over the sum of their distances (0 if none is reached)."""
+    asked = nodes if sources is None else sources
+    d = distances(nodes, edges, asked).filter("distance > 0")
     c = d.groupBy(F.col("source").alias("id")).agg((F.count(F.lit(1)) / F.sum("distance")).alias("closeness"))
-    return nodes.select("id").join(c, "id", "left").na.fill(0.0, ["closeness"])
+    return asked.select("id").join(c, "id", "left").na.fill(0.0, ["closeness"])
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, iterations: int = 20, damping: float = 0.85) -> DataFrame:
@@ -143,21 +174,19 @@ def bfs_trees(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, id, path: the path that a breadth-first search finds which visits neighbours in the order of their ids (undirected)."""
     e = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"))
     e = stored(e.union(e.select("v", "u")).filter("u <> v").distinct(), "steps")
-    front = stored(sources.select(F.col("id").alias("source"), "id", F.array("id").alias("path")), "tree")
-    seen = front
-    while not front.isEmpty():
+    fronts = [stored(sources.select(F.col("id").alias("source"), "id", F.array("id").alias("path")), "tree")]
+    while not fronts[-1].isEmpty():  # a step adds nodes or is the last
         # of all parents on the last level the one that was reached first is the one with the smallest path
-        near = front.join(e, F.col("id") == F.col("u")).select("source", F.col("v").alias("id"), F.concat("path", F.array("v")).alias("path"))
-        near = near.join(seen.select("source", "id"), ["source", "id"], "left_anti").groupBy("source", "id").agg(F.min("path").alias("path"))
-        front = stored(near, "tree")
-        seen = stored(seen.union(front), "tree")
-    return seen
+        near = fronts[-1].join(e, F.col("id") == F.col("u")).select("source", F.col("v").alias("id"), F.concat("path", F.array("v")).alias("path"))
+        seen = reduce(DataFrame.union, fronts[-2:])
+        fronts.append(stored(near.join(seen.select("source", "id"), ["source", "id"], "left_anti").groupBy("source", "id").agg(F.min("path").alias("path")), "tree"))
+    return reduce(DataFrame.union, fronts)
 
 
-def pair_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, score: inner visits of one shortest path for each ordered pair, over (n - 1)(n - 2) / 2; nodes without visits are left out."""
+def pair_betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """id, score: inner visits of one shortest path from each of ``sources`` (None: every node, which takes all pairs) to each other node, over (n - 1)(n - 2) / 2; nodes without visits are left out."""
     n = nodes.count()
-    inner = bfs_trees(edges, nodes.select("id")).filter("size(path) > 2").select(F.explode(F.slice("path", 2, F.size("path") - 2)).alias("id"))
+    inner = bfs_trees(edges, (nodes if sources is None else sources).select("id")).filter("size(path) > 2").select(F.explode(F.slice("path", 2, F.size("path") - 2)).alias("id"))
     return inner.groupBy("id").agg((F.count(F.lit(1)) / max(1.0, (n - 1) * (n - 2) / 2)).alias("score"))
 
 

@@ -34,6 +34,14 @@ def hand(spark, d) -> PropertyGraph:
     return PropertyGraph(e.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct(), e)
 
 
+def asked(g: PropertyGraph):
+    """The query set of searches from nodes: the users whose id is divisible by 50."""
+    return stored(g.nodes.filter("CAST(substr(id, 2) AS BIGINT) % 50 = 0"), "asked")
+
+
+_ASKED = "SELECT id FROM v WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0"
+
+
 @query("SELECT id, min(root) AS component FROM r GROUP BY id", graph=False, **HAND, r="SELECT id AS root, id FROM v UNION SELECT root, w FROM r JOIN adj ON u = id")
 def weakly_connected_components(spark, d):
     g = hand(spark, d)
@@ -52,32 +60,35 @@ def nodes_on_cycles(spark, d):
     return components.on_cycles(g.nodes, g.edges)
 
 
-_DIST = {**HAND, "r": "SELECT id AS source, id, 0 AS distance FROM v UNION SELECT source, w, distance + 1 FROM r JOIN adj ON u = id WHERE distance < 12"}
+_DIST = {**HAND, "q": _ASKED, "r": "SELECT id AS source, id, 0 AS distance FROM q UNION SELECT source, w, distance + 1 FROM r JOIN adj ON u = id WHERE distance < 12"}
 
 
 @query("SELECT source, id, CAST(min(distance) AS INT) AS distance FROM r GROUP BY source, id", graph=False, **_DIST)
 def bfs_distances(spark, d):
     g = hand(spark, d)
-    return components.distances(g.nodes, g.edges, g.nodes)
+    return components.distances(g.nodes, g.edges, asked(g))
 
 
 @query("SELECT source, id, CAST(min(distance) AS INT) AS distance FROM r WHERE distance <= 2 GROUP BY source, id", graph=False, **_DIST)
 def neighbourhood(spark, d):
     g = hand(spark, d)
-    return components.distances(g.nodes, g.edges, g.nodes, limit=2)
+    return components.distances(g.nodes, g.edges, asked(g), limit=2)
 
 
 @query("SELECT source, distance, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT source, id, CAST(min(distance) AS INT) AS distance FROM r GROUP BY source, id) WHERE distance <= 3 GROUP BY source, distance", graph=False, **_DIST)
 def dependency_chain(spark, d):
     g = hand(spark, d)
-    out = components.distances(g.nodes, g.edges, g.nodes, limit=3)
+    out = components.distances(g.nodes, g.edges, asked(g), limit=3)
     return out.groupBy("source", "distance").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 
-@query()
+_NEAREST = {**_DIST, "dd": "SELECT source, id, min(distance) AS k FROM r GROUP BY source, id"}
+
+
+@query("SELECT source, id, array_to_string(min(path), '>') AS path FROM p GROUP BY source, id", graph=False, **_NEAREST, p="SELECT id AS source, id, [id] AS path, 0 AS n FROM q UNION ALL SELECT p.source, w, list_append(path, w), n + 1 FROM p JOIN adj ON u = p.id JOIN dd ON dd.source = p.source AND dd.id = w AND k = n + 1")
 def shortest_paths(spark, d):
     g = hand(spark, d)
-    return components.bfs_trees(g.edges, g.nodes).select("source", "id", F.array_join("path", ">").alias("path"))
+    return components.bfs_trees(g.edges, asked(g)).select("source", "id", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -96,16 +107,31 @@ def pagerank(spark, d):
     return components.pagerank(g.nodes, g.edges).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query("SELECT source AS id, coalesce(count(*) FILTER (WHERE k > 0) / CAST(nullif(sum(k), 0) AS DOUBLE), 0) AS closeness FROM dd GROUP BY source", graph=False, **_NEAREST)
 def closeness_centrality(spark, d):
     g = hand(spark, d)
-    return components.closeness(g.nodes, g.edges)
+    return components.closeness(g.nodes, g.edges, asked(g))
 
 
-@query()
+_ALL = {**HAND, "r": "SELECT id AS source, id, 0 AS distance FROM v UNION SELECT source, w, distance + 1 FROM r JOIN adj ON u = id WHERE distance < 12", "dd": "SELECT source, id, min(distance) AS k FROM r GROUP BY source, id"}
+
+
+@query("SELECT source AS id, h AS hop, count(*) AS reached FROM dd JOIN (SELECT unnest(range(0, 3))::INTEGER AS h) ON k <= h GROUP BY source, h", graph=False, **_ALL)
+def neighbourhood_sizes(spark, d):
+    g = hand(spark, d)
+    return components.neighbourhood_sizes(g.nodes, g.edges, limit=2)
+
+
+@query("SELECT source AS id, coalesce(count(*) FILTER (WHERE k > 0) / CAST(nullif(sum(k), 0) AS DOUBLE), 0) AS closeness FROM dd GROUP BY source", graph=False, **_ALL)
+def approximate_closeness(spark, d):
+    g = hand(spark, d)
+    return components.approximate_closeness(g.nodes, g.edges)
+
+
+@query("SELECT id, count(*) / greatest(1.0, CAST((SELECT count(*) - 1 FROM v) * (SELECT count(*) - 2 FROM v) AS DOUBLE) / 2) AS score FROM (SELECT unnest(path[2:-2]) AS id FROM (SELECT min(path) AS path FROM p GROUP BY source, id) WHERE len(path) > 2) GROUP BY id", graph=False, **_NEAREST, p="SELECT id AS source, id, [id] AS path, 0 AS n FROM q UNION ALL SELECT p.source, w, list_append(path, w), n + 1 FROM p JOIN adj ON u = p.id JOIN dd ON dd.source = p.source AND dd.id = w AND k = n + 1")
 def betweenness_centrality(spark, d):
     g = hand(spark, d)
-    return components.pair_betweenness(g.nodes, g.edges)
+    return components.pair_betweenness(g.nodes, g.edges, asked(g))
 
 
 # --- blankets ---

@@ -5,18 +5,19 @@ from collections import defaultdict
 
 import pytest
 
-from graphloom.plans.path_queries import QUERIES
+from graphloom.operators import components
+from graphloom.plans.path_queries import QUERIES, hand
 from graphloom.plans.projection import TABLES
 
 #: Consecutive users of one event type; event ids are odd and even, and two parts are not connected.
-USERS = [("a", [1, 2, 3, 1, 4, 4, 5]), ("b", [7, 8, 9]), ("c", [5, 6])]
+USERS = [("a", [10, 20, 30, 10, 40, 40, 50]), ("b", [70, 80, 90]), ("c", [50, 60])]
 
 
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     d, rows = str(tmp_path_factory.mktemp("events")), []
     for kind, users in USERS:
-        rows += [(len(rows) + i, u, kind, i) for i, u in enumerate(users)]
+        rows += [(len(rows) + i, u, kind, i * 1500) for i, u in enumerate(users)]  # some in one stretch, some in the next
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts long").write.parquet(f"{d}/events.parquet")
     for t in TABLES:
         if t != "events":  # read, but not used
@@ -54,23 +55,37 @@ def test_traversals_take_all_handovers_and_all_starts(spark, small):
     assert dict(rows("strongly_connected_components")) == strong
     assert {r[0] for r in rows("nodes_on_cycles")} == {v for v in nodes if v in one[v] or list(strong.values()).count(strong[v]) > 1}
     far = sorted((s, v, len(p) - 1) for s in nodes for v, p in trees[s].items())
-    assert sorted(rows("bfs_distances")) == far
-    assert sorted(rows("neighbourhood")) == [r for r in far if r[2] <= 2]
+    mine = [r for r in far if r[0] == "u50"]  # the only user that is asked for
+    g = hand(spark, d)
+    assert sorted(map(tuple, components.distances(g.nodes, g.edges, g.nodes).collect())) == far
+    assert sorted(rows("bfs_distances")) == mine
+    assert sorted(rows("neighbourhood")) == [r for r in mine if r[2] <= 2]
+    directed = {(s, v) for s in nodes for v in out[s]}
+    assert {(r.source, r.id) for r in components.distances(g.nodes, g.edges, g.nodes, directed=True).collect()} == directed
     chains = defaultdict(list)
-    for s, v, k in far:
+    for s, v, k in mine:
         if k <= 3:
             chains[s, k].append(v)
     assert sorted(rows("dependency_chain")) == sorted((s, k, ",".join(sorted(v))) for (s, k), v in chains.items())
-    assert sorted(rows("shortest_paths")) == sorted((s, v, ">".join(p)) for s in nodes for v, p in trees[s].items())
-    close = dict(rows("closeness_centrality"))
-    assert all(abs(close[s] - (len(trees[s]) - 1) / sum(len(p) - 1 for p in trees[s].values())) < 1e-12 for s in nodes)
-    inner = defaultdict(int)
-    for s in nodes:
-        for p in trees[s].values():
-            for v in p[1:-1]:
-                inner[v] += 1
-    between = dict(rows("betweenness_centrality"))
-    assert set(between) == set(inner) and all(abs(between[v] - inner[v] * 2 / ((len(nodes) - 1) * (len(nodes) - 2))) < 1e-12 for v in inner)
+    assert sorted(rows("shortest_paths")) == sorted(("u50", v, ">".join(p)) for v, p in trees["u50"].items())
+    every = sorted((r.source, r.id, tuple(r.path)) for r in components.bfs_trees(g.edges, g.nodes).collect())
+    assert every == sorted((s, v, tuple(p)) for s in nodes for v, p in trees[s].items())
+    true = {s: (len(trees[s]) - 1) / sum(len(p) - 1 for p in trees[s].values()) for s in nodes}
+    assert dict(rows("closeness_centrality")) == pytest.approx({"u50": true["u50"]})
+    assert dict(map(tuple, components.closeness(g.nodes, g.edges).collect())) == pytest.approx(true) == dict(rows("approximate_closeness"))
+    sizes = {(r.id, r.hop): r.reached for r in components.neighbourhood_sizes(g.nodes, g.edges).collect()}
+    assert sizes == {(s, h): sum(len(p) - 1 <= h for p in trees[s].values()) for s in nodes for h in range(max(len(p) for t in trees.values() for p in t.values()))}
+
+    def inner(sources):
+        count = defaultdict(int)
+        for s in sources:
+            for p in trees[s].values():
+                for v in p[1:-1]:
+                    count[v] += 1
+        return {v: k * 2 / ((len(nodes) - 1) * (len(nodes) - 2)) for v, k in count.items()}
+
+    assert dict(rows("betweenness_centrality")) == pytest.approx(inner(["u50"]))
+    assert dict(map(tuple, components.pair_betweenness(g.nodes, g.edges).collect())) == pytest.approx(inner(nodes))
     rank = dict.fromkeys(nodes, 1 / len(nodes))
     for _ in range(20):
         rank = {v: 0.15 / len(nodes) + 0.85 * sum(rank[u] / len(one[u]) for u in nodes if v in one[u]) for v in nodes}
