@@ -1,7 +1,12 @@
-"""Tables written to the folder that driver and executors share, to cut lineage or to read a result several times."""
+"""Tables written to the folder that driver and executors share, to cut lineage or to read a result several times.
+
+A result is read when it is used, so its tables can't go while a query returns it. They go when the driver ends, or before by ``release``.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +14,43 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no checkpoint folder and runs on this machine alone, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
+_written: list[str] = []
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in ``spark.checkpoint.dir``, read again; it survives lost executors."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = (found or LOCAL_CHECKPOINTS).rstrip("/")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return (found or LOCAL_CHECKPOINTS).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the driver."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again; it survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all tables that this driver has written so far, and says how many: call it when no result that was made of them is read any more."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        if _written and (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
