@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder and runs on this machine alone, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from graphloom.functions.storage import scratch, stored  # noqa: F401  their tables go with the driver
+
 #: Tables of at most so many narrow rows are sent to all executors.
 BROADCAST_ROWS = 300_000
 #: Parts into which a key's rows are dealt where its table is too large to be sent to all executors.
 SALTS = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (found or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table that one query writes and reads again."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, *paths: str) -> None:
     """Removes scratch tables that no later step reads."""
     for path in paths:
