@@ -131,9 +131,10 @@ VERSIONS = "array(struct(0 AS v, own AS digests), struct(1 AS v, edit AS digests
 PAIRS = "CASE v WHEN 0 THEN array(struct(0 AS kind, 1 AS sign), struct(1 AS kind, 1 AS sign)) WHEN 1 THEN array(struct(0 AS kind, -1 AS sign)) ELSE array(struct(1 AS kind, -1 AS sign)) END"
 
 
-def version_sketches(kept: DataFrame, cells: int) -> DataFrame:
-    """Sketches r, rn, v, cell, n, x, c of the versions of ``kept`` (r, rn, own, edit, next: digests)."""
-    return sketched(kept.select("r", "rn", F.inline(F.expr(VERSIONS))), cells, ["r", "rn", "v"])
+def version_sketches(kept: DataFrame, cells: int, *, also: list[str] | None = None) -> DataFrame:
+    """Sketches r, rn, v, cell, n, x, c (and the columns ``also``, of a document) of the versions of ``kept`` (r, rn, own, edit, next: digests)."""
+    keys = ["r", "rn", *(also or [])]
+    return sketched(kept.select(*keys, F.inline(F.expr(VERSIONS))), cells, [*keys, "v"])
 
 
 def differences(kept: DataFrame, *, first_cells: int = FIRST_CELLS) -> list[DataFrame]:
@@ -142,19 +143,18 @@ def differences(kept: DataFrame, *, first_cells: int = FIRST_CELLS) -> list[Data
     A pair whose sketches are equal is in none of the tables.
     """
     spark = kept.sparkSession
-    done, cells, rows, failed = [], first_cells, kept, None
+    # The kinds that are still open stand with each document (bit k for kind k), so a retry picks documents before they are sketched.
+    done, cells, rows = [], first_cells, kept.withColumn("open", F.lit(3))
     while True:
-        signed = version_sketches(rows, cells).withColumn("p", F.explode(F.expr(PAIRS))).select("r", "rn", "p.kind", "p.sign", "cell", "n", "x", "c")
-        if failed is not None:
-            signed = signed.join(failed, KEY, "left_semi")
+        signed = version_sketches(rows, cells, also=["open"]).withColumn("p", F.explode(F.expr(PAIRS))).filter("shiftright(open, p.kind) & 1 = 1")
         path = scratch(spark, "peeled")
-        peel(subtracted(signed, KEY), cells).write.parquet(path)
+        peel(subtracted(signed.select("r", "rn", "p.kind", "p.sign", "cell", "n", "x", "c"), KEY), cells).write.parquet(path)
         tried = spark.read.parquet(path)
         done.append(tried.filter("rest = 0").select(*KEY, "found"))
-        failed = tried.filter("rest > 0").select(*KEY)
+        failed = tried.filter("rest > 0").groupBy("r", "rn").agg(F.expr("bit_or(shiftleft(1, kind))").alias("open"))
         if failed.isEmpty():
             return done
-        rows, cells = kept.join(failed.select("r", "rn").distinct(), ["r", "rn"], "left_semi"), cells * GROWTH
+        rows, cells = kept.join(failed, ["r", "rn"]), cells * GROWTH
 
 
 def fingerprints(sketches: DataFrame, cells: int, keys: list[str]) -> DataFrame:
