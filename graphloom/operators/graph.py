@@ -277,7 +277,7 @@ def coupling_and_cohesion(graph: PropertyGraph) -> DataFrame:
 
 def hotspots(graph: PropertyGraph, top: int = 10) -> DataFrame:
     """what (degree, sink, source), id, degree: the nodes of greatest degree, and those without outgoing or incoming edges."""
-    d = degrees(graph)
+    d = stored(degrees(graph), "degrees")
     most = d.orderBy(F.desc("degree"), "id").limit(top).select(F.lit("degree").alias("what"), "id", "degree")
     return most.union(d.filter("out_degree = 0").select(F.lit("sink"), "id", "degree")).union(d.filter("in_degree = 0").select(F.lit("source"), "id", "degree"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import stored
+
 
 def count_drift(a: str | Column, b: str | Column) -> Column:
     """|a - b| over the greater; 0.5 if exactly one is 0, 0 if both are."""
@@ -74,11 +76,24 @@ def share_of(elements: DataFrame, hits: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0)).alias("share"))
 
 
-def rank_percentiles(df: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame:
-    """by, percent, value: the value at place ``int(n * percent / 100)`` of each group in ascending order (the last at most)."""
-    from pyspark.sql import Window
+def rank_percentiles(df: DataFrame, by: str, value: str, percents: list[int], *, parts: int = 64) -> DataFrame:
+    """by, percent, value: the value at place ``int(n * percent / 100)`` of each group in ascending order (the last at most); null values are left out.
+
+    Counts by stretches of values (between ``parts`` quantiles of all) say in which stretch a place lies; only the values of those stretches are put in order, equal ones as one row. So
+    no task sorts a group.
+    """
+    rows = df.select(F.col(by).alias("__by"), F.col(value).alias("__v")).filter("__v IS NOT NULL")
+    row = rows.agg(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")).first()
+    cuts = sorted(set(row.cuts or []))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("__v"))) if cuts else F.lit(0)
+    counted = stored(rows.groupBy("__by", "__v").agg(F.count(F.lit(1)).alias("k")).withColumn("part", at), "counted-values")
+    sums = counted.groupBy("__by", "part").agg(F.sum("k").alias("k"))
+    whole = Window.partitionBy("__by")
+    sums = sums.select("__by", "part", "k", (F.sum("k").over(whole.orderBy("part")) - F.col("k")).alias("before"), F.sum("k").over(whole).alias("n"))
+    want = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).alias("at")) for p in percents])).alias("w")
+    places = stored(sums.select("__by", "part", "k", "before", want).filter("w.at >= before AND w.at < before + k").select("__by", "part", "w.percent", (F.col("w.at") - F.col("before")).alias("at")), "places")
+    near = counted.join(places.select("__by", "part").distinct(), ["__by", "part"], "left_semi")
+    upto = F.sum("k").over(Window.partitionBy("__by", "part").orderBy("__v"))
+    found = near.withColumn("upto", upto).join(places, ["__by", "part"]).filter("at < upto AND at >= upto - k")
+    return found.select(F.col("__by").alias(by), "percent", F.col("__v").alias(value))
 
-    w = Window.partitionBy(by)
-    rows = df.select(by, value).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    want = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).alias("at")) for p in percents]))
-    return rows.withColumn("w", want).filter("i = w.at").select(by, F.col("w.percent").alias("percent"), F.col(value).alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.storage import stored
 from graphloom.operators import betweenness as between
 from graphloom.operators import communities as community
-from graphloom.operators import enrichment, flows, incremental, resolution, schedule
+from graphloom.operators import enrichment, flows, incremental, resolution, schedule, types
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans.graph_queries import HALVES, halves, whole
 from graphloom.plans.path_queries import _DEPTH, _TIME, hand, trace
@@ -270,3 +270,21 @@ def incremental_compile(spark, d):
     facts = incremental.FACTS
     now = incremental.updated(incremental.compiled(ma, ea), incremental.facts_delta(ma, mb, changes, facts["mappings"]), incremental.facts_delta(ea, eb, changes, facts["edges"]))
     return incremental.state_space(now)
+
+
+# --- types: parts have one by their number, and whoever reads or is written to takes it ---
+
+_TYPED = "CASE p_partkey % 7 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'str' WHEN 3 THEN 'None' WHEN 4 THEN 'bool' ELSE {brand} END"
+
+
+@query(
+    "SELECT symbol, array_to_string(CASE WHEN len(v) > 3 THEN ['Any'] ELSE v END, ',') AS types FROM (SELECT symbol, list_sort(list_concat(list_filter(a, lambda x: x NOT IN ('bool', 'int', 'float', 'complex')), CASE WHEN list_contains(a, 'float') THEN ['float'] WHEN list_contains(a, 'int') THEN ['int'] WHEN list_contains(a, 'bool') THEN ['bool'] ELSE [] END)) AS v FROM (SELECT symbol, list(DISTINCT type) AS a FROM r GROUP BY symbol))",
+    graph=True, f="SELECT target_id AS source, source_id AS target FROM edges WHERE kind = 'writes' AND source_id LIKE 'c:%' UNION SELECT source_id, target_id FROM edges WHERE kind IN ('throws', 'returns')",
+    r="SELECT 'p:' || CAST(p_partkey AS VARCHAR) AS symbol, " + _TYPED.format(brand="p_brand") + " AS type FROM part UNION SELECT target, type FROM r JOIN f ON source = symbol",
+)
+def inferred_types(spark, d):
+    e = stored(whole(spark, d).edges, "edges")
+    known = tables(spark, d)["part"].select(F.concat(F.lit("p:"), "p_partkey").alias("symbol"), F.expr(_TYPED.format(brand="p_brand")).alias("type"))
+    flow = e.filter("kind = 'writes' AND source_id LIKE 'c:%'").select(F.col("target_id").alias("source"), F.col("source_id").alias("target"))
+    flow = flow.union(e.filter("kind IN ('throws', 'returns')").select("source_id", "target_id"))
+    return types.inferred(known, flow).select("symbol", F.array_join("types", ",").alias("types"))

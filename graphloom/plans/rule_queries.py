@@ -8,6 +8,7 @@ from graphloom.functions import keywords as kw
 from graphloom.functions.storage import stored
 from graphloom.operators import confidence as c
 from graphloom.operators import rules
+from graphloom.operators.graph import PropertyGraph
 from graphloom.plans.graph_queries import whole
 from graphloom.plans.projection import documents_labels, nodes, oracle
 
@@ -61,14 +62,21 @@ _SQL = {
 }
 
 
+#: The projection has no such kinds: for the rules on them, variables of two names are taken as configurations and flags.
+_FLAGS = "CASE WHEN kind = 'variable' AND name LIKE 'lambda%' THEN 'configuration' WHEN kind = 'variable' AND name LIKE 'alpha%' THEN 'feature_flag' ELSE kind END"
+
+
 def _rule(name: str):
-    prefix = rules.BY_NAME[name].prefix
+    prefix, flags = rules.BY_NAME[name].prefix, name in ("config", "feature_flag")
 
     def run(spark, d):
-        return rules.matches(whole(spark, d), name).select("mapping_id", "node_id", "kind", "confidence", F.size("node_ids").cast("long").alias("fragment"))
+        graph = whole(spark, d)
+        if flags:
+            graph = PropertyGraph(graph.nodes.withColumn("kind", F.expr(_FLAGS)), graph.edges)
+        return rules.matches(graph, name).select("mapping_id", "node_id", "kind", "confidence", F.size("node_ids").cast("long").alias("fragment"))
 
     QUERIES[f"rule_{name}"] = run
-    ORACLE[f"rule_{name}"] = oracle(f"SELECT '{prefix}_' || id || '_' || substr(sha256('{name}'), 1, 8) AS mapping_id, id AS node_id, k AS kind, CAST(c AS DOUBLE) AS confidence, CAST(f AS BIGINT) AS fragment FROM (SELECT {_SQL[name]}) AS x(id, k, c, f)", **PROFILE)
+    ORACLE[f"rule_{name}"] = oracle(f"SELECT '{prefix}_' || id || '_' || substr(sha256('{name}'), 1, 8) AS mapping_id, id AS node_id, k AS kind, CAST(c AS DOUBLE) AS confidence, CAST(f AS BIGINT) AS fragment FROM (SELECT {_SQL[name]}) AS x(id, k, c, f)", **(PROFILE | {"p": PROFILE["p"].replace("nodes.*", f"nodes.* REPLACE ({_FLAGS} AS kind)")} if flags else PROFILE))
 
 
 for _name in _SQL:
