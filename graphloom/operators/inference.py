@@ -1,4 +1,4 @@
-"""Active inference agents over small models: each agent's loop runs whole in one task, many agents in parallel.
+"""Active inference agents over small models: each agent has a model of its own or one for all; its loop is a few steps, and many agents run in parallel.
 
 A model is a dict of lists: A[o][s], B[s_next][s][a], C[o], D[s].
 """
@@ -76,6 +76,20 @@ def run_agents(agents: DataFrame, model: dict, *, steps: int, threshold: float |
     return agents.select("agent").mapInPandas(run, STEPS)
 
 
+def run_models(agents: DataFrame, *, steps: int, threshold: float | None = None) -> DataFrame:
+    """Steps of each agent from its own model: agent, states, actions (numbers), and a, b, c, d, the matrices row by row (b: next state, state, action)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                model = {"A": np.reshape(r.a, (-1, r.states)), "B": np.reshape(r.b, (r.states, r.states, r.actions)), "C": r.c, "D": r.d}
+                rows += [(r.agent, *x) for x in episode(model, steps, threshold=threshold)]
+            yield pd.DataFrame(rows, columns=["agent", "t", "observation", "action", "belief", "free_energy"])
+
+    return agents.select("agent", "states", "actions", "a", "b", "c", "d").mapInPandas(run, STEPS)
+
+
 def expected_free_energy(model: dict, belief: list[float], actions: list[int]) -> float:
     """Over the steps of a policy, the entropy of the predicted observation less its preference; the least value is the best policy."""
     m, s, total = {k: np.asarray(v, float) for k, v in model.items()}, np.asarray(belief, float), 0.0

@@ -136,3 +136,22 @@ def log_probability(p: str, at: int) -> Column:
     """ln of one category's probability; minus infinity for 0 or a category that is not there."""
     x = F.get(p, F.lit(at))
     return F.when(x > 0, F.log(x)).otherwise(F.lit(float("-inf")))
+
+
+def models_of_steps(steps: DataFrame, states: list[str]) -> DataFrame:
+    """A small model for each agent from its own steps (agent, value, next), in the form of ``inference.run_models``.
+
+    States and observations are the ``states``; an observation is its state's with 0.9. The first action stays, the second follows the shares of the agent's own steps (from a state that it
+    never left, all alike). Preferences and the first belief are the shares of the values that it left.
+    """
+    n = len(states)
+    counts = steps.groupBy("agent", "value", "next").agg(F.count(F.lit(1)).alias("k"))
+    left = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x01", "value", "next"), "k")))  # a row for each two states at most
+    own = counts.groupBy("agent").agg(left.alias("k"))
+    k = lambda s, t: F.coalesce(F.col("k")[f"{s}\x01{t}"], F.lit(0))
+    total = {s: sum((k(s, t) for t in states), F.lit(0)) for s in states}
+    every = sum(total.values(), F.lit(0))
+    b = [x for t in states for s in states for x in (F.lit(float(s == t)), F.when(total[s] > 0, k(s, t) / total[s]).otherwise(1.0 / n))]
+    share = F.array(*[total[s] / every for s in states])
+    a = F.array(*[F.lit(1.0 if n == 1 else 0.9 if s == o else 0.1 / (n - 1)) for o in states for s in states])
+    return own.select(F.col("agent").cast("string").alias("agent"), F.lit(n).alias("states"), F.lit(2).alias("actions"), a.alias("a"), F.array(*b).alias("b"), share.alias("c"), share.alias("d"))

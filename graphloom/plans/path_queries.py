@@ -8,7 +8,7 @@ from graphloom.functions.storage import stored
 from graphloom.operators import blanket, components, inference, process, statespace, traces, validate
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans.graph_queries import whole
-from graphloom.plans.projection import HANDOVERS, edges, handovers, nodes, oracle, plain, tables
+from graphloom.plans.projection import HANDOVERS, edges, handovers, nodes, oracle, plain, successions, tables
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -307,9 +307,11 @@ def probability_scalars(spark, d):
 
 @query()
 def agent_episodes(spark, d):
-    """An agent for each user over the model of all events' transitions."""
+    """An agent for each user, over the model of the user's own steps from one event type to the next."""
     e = tables(spark, d)["events"]
-    return inference.run_agents(e.select(F.col("user_id").cast("string").alias("agent")).distinct(), inference.demo_model(), steps=8)
+    states = sorted(r[0] for r in e.select("event_type").distinct().collect())  # dimensions of a model
+    steps = successions(e, "user_id", "event_type").withColumnRenamed("key", "agent")
+    return inference.run_models(statespace.models_of_steps(steps, states), steps=8)
 
 
 # --- processes and validation ---

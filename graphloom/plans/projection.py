@@ -72,16 +72,24 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("id", F.substring(F.sha2(F.concat_ws("|", "source_id", "target_id", "kind"), 256), 1, 16))
 
 
-def handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``HANDOVERS`` says, but in stretches of an hour: few event types would otherwise sort all events in few tasks. Only the first and last events of stretches meet by type."""
-    e = tables(spark, sf_dir)["events"].select("event_type", "ts", "event_id", F.col("user_id").alias("u"))
+def successions(events: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value and next (the value of the key's next event by ts, event_id) of all events that have one, in stretches of an hour: else a few keys would sort all events in few tasks.
+
+    Only the first and last events of stretches meet by key.
+    """
+    e = events.select(F.col(key).alias("key"), F.col(value).alias("value"), "ts", "event_id")
     e = e.withColumn("hour", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 3600000000L") if dict(e.dtypes)["ts"].startswith(("timestamp", "date")) else F.expr("ts div 3600"))
-    within = e.select("event_type", "hour", "u", F.lead("u").over(Window.partitionBy("event_type", "hour").orderBy("ts", "event_id")).alias("next"))
-    of = lambda f: f(F.struct("ts", "event_id", "u"))["u"]
-    ends = e.groupBy("event_type", "hour").agg(of(F.min).alias("first"), of(F.max).alias("u"))
-    across = ends.select("u", F.lead("first").over(Window.partitionBy("event_type").orderBy("hour")).alias("next"))
-    pairs = within.select("u", "next").union(across).filter("next IS NOT NULL").distinct()
-    return pairs.select(F.concat(F.lit("u"), "u").alias("source_id"), F.concat(F.lit("u"), "next").alias("target_id"))
+    within = e.select("key", "value", F.lead("value").over(Window.partitionBy("key", "hour").orderBy("ts", "event_id")).alias("next"))
+    of = lambda f: f(F.struct("ts", "event_id", "value"))["value"]
+    ends = e.groupBy("key", "hour").agg(of(F.min).alias("first"), of(F.max).alias("value"))
+    across = ends.select("key", "value", F.lead("first").over(Window.partitionBy("key").orderBy("hour")).alias("next"))
+    return within.union(across).filter("next IS NOT NULL")
+
+
+def handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``HANDOVERS`` says."""
+    pairs = successions(tables(spark, sf_dir)["events"], "event_type", "user_id").select("value", "next").distinct()
+    return pairs.select(F.concat(F.lit("u"), "value").alias("source_id"), F.concat(F.lit("u"), "next").alias("target_id"))
 
 
 def plain(text: str) -> str:

@@ -108,7 +108,7 @@ def rank_percentiles(spark, d):
     return scores.rank_percentiles(tables(spark, d)["events"], "event_type", "value", [50, 95, 99])
 
 
-#: Small sources of our own, as the test tables hold no code.
+#: Forms of sources, as the test tables hold no code: every document gives a package of these files, with names made of its first long word and its id.
 SOURCES = [
     ("shop/cart.py", "import os\nimport json as j\nfrom shop.prices import lookup\n\nLIMIT = 10\n_unused = 3\n\n\nclass Cart(Base):\n    items: list\n\n    def add(self, item, n=1):\n        if n > LIMIT and item or n < 0:\n            raise ValueError(item)\n        for _ in range(n):\n            self.items.append(item)\n        return lookup(item)\n\n    def total(self):\n        return sum(lookup(x) for x in self.items)\n\n\ndef _hidden():\n    return j.dumps({})\n"),
     ("shop/prices.py", "# prices\nTABLE = {'a': 1}\n\n\ndef lookup(name):\n    price = TABLE.get(name)\n    doubled = price * 2\n    return doubled if price else 0\n"),
@@ -117,12 +117,19 @@ SOURCES = [
 ]
 
 
-def _files(spark):
-    return spark.createDataFrame(SOURCES, "path string, text string")
+_NAMES = r"\\b(shop|Cart|add|total|_hidden|lookup|Base|TABLE|LIMIT|_unused|price|doubled|item)\\b"
+
+
+def _files(spark, d):
+    own = F.concat(F.lit("_"), F.coalesce(F.nullif(F.regexp_extract("text", "[a-z]{4,}", 0), F.lit("")), F.lit("none")), F.lit("_"), F.col("doc_id").cast("string"))
+    docs = tables(spark, d)["documents"].select(own.alias("own"))
+    forms = F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(text).alias("text")) for path, text in SOURCES])).alias("form")
+    named = lambda c: F.regexp_replace(f"form.{c}", F.lit(_NAMES.replace("\\\\", "\\")), F.concat(F.lit("$1"), F.col("own"))).alias(c)
+    return docs.select("own", forms).select(named("path"), named("text"))
 
 
 def _code(name: str, f):
-    QUERIES[name] = lambda spark, d: f(code.facts(_files(spark)))
+    QUERIES[name] = lambda spark, d: f(code.facts(_files(spark, d)))
 
 
 _code("code_facts", lambda f: f.filter("fact NOT IN ('operator', 'operand', 'use')"))
@@ -134,4 +141,4 @@ _code("code_entry_points", code.entry_points)
 _code("code_imports", code.imports)
 _code("code_calls", code.call_edges)
 _code("code_flow_ends", code.flow_ends)
-QUERIES["code_graph_edges"] = lambda spark, d: code.code_graph(_files(spark))[1]
+QUERIES["code_graph_edges"] = lambda spark, d: code.code_graph(_files(spark, d))[1]
