@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.storage import stored
 from graphloom.operators import betweenness as between
 from graphloom.operators import communities as community
-from graphloom.operators import enrichment, flows, incremental, resolution, schedule, types
+from graphloom.operators import enrichment, flows, incremental, resolution, schedule, types, validate
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans.graph_queries import HALVES, halves, whole
 from graphloom.plans.path_queries import _DEPTH, _TIME, hand, trace
@@ -288,3 +288,36 @@ def inferred_types(spark, d):
     flow = e.filter("kind = 'writes' AND source_id LIKE 'c:%'").select(F.col("target_id").alias("source"), F.col("source_id").alias("target"))
     flow = flow.union(e.filter("kind IN ('throws', 'returns')").select("source_id", "target_id"))
     return types.inferred(known, flow).select("symbol", F.array_join("types", ",").alias("types"))
+
+
+# --- validation: effects of the first half of the graph against variables of the second; stages of customers and suppliers only ---
+
+
+@query(
+    "SELECT DISTINCT 'action_without_variable' AS issue, 'error' AS severity, source_id AS id, target_id AS reference FROM ea JOIN na ON na.id = source_id AND na.kind = 'function' WHERE ea.kind IN ('writes', 'reads') AND target_id NOT IN (SELECT id FROM nb WHERE kind = 'variable' AND name NOT LIKE 'value%')",
+    graph=True, **HALVES,
+)
+def state_space_issues(spark, d):
+    a, b = halves(spark, d)
+    acts = a.edges.filter("kind IN ('writes', 'reads')").join(a.nodes.filter("kind = 'function'").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return validate.state_space_issues(b.nodes.filter("kind = 'variable' AND name NOT LIKE 'value%'"), acts.select(F.col("source_id").alias("action"), F.col("target_id").alias("variable")))
+
+
+_ST = "SELECT id FROM nodes WHERE kind IN ('function', 'method')"
+
+
+@query(
+    "SELECT 'link_without_source' AS issue, 'error' AS severity, u || '>' || w AS id, u AS reference FROM li WHERE u NOT IN (SELECT id FROM st) UNION ALL SELECT 'link_without_target', 'error', u || '>' || w, w FROM li WHERE w NOT IN (SELECT id FROM st) "
+    "UNION ALL SELECT 'entry_without_stage', 'error', id, NULL FROM nodes WHERE kind = 'module' UNION ALL SELECT 'exit_without_stage', 'error', id, NULL FROM nodes WHERE kind = 'variable'",
+    graph=True, st=_ST, li="SELECT DISTINCT source_id AS u, target_id AS w FROM edges WHERE kind IN ('calls', 'triggers', 'contains')",
+)
+def process_issues(spark, d):
+    n, e = stored(whole(spark, d).nodes.select("id", "kind"), "nodes"), whole(spark, d).edges.filter("kind IN ('calls', 'triggers', 'contains')")
+    links = stored(e.select(F.col("source_id").alias("source_stage"), F.col("target_id").alias("target_stage")), "links")
+    return validate.process_issues(n.filter("kind IN ('function', 'method')"), links, n.filter("kind = 'module'"), n.filter("kind = 'variable'"))
+
+
+@query("SELECT kind, count(*) AS elements, count(o.k) AS covered, count(o.k) / CAST(count(*) AS DOUBLE) AS share FROM nodes LEFT JOIN (SELECT DISTINCT target_id AS k FROM edges WHERE kind IN ('reads', 'writes')) o ON o.k = id GROUP BY kind", graph=True)
+def provenance_coverage(spark, d):
+    g = whole(spark, d)
+    return validate.provenance_coverage(g.nodes.select("id", "kind"), g.edges.filter("kind IN ('reads', 'writes')").select("target_id"))
