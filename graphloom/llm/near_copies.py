@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import meet, stored
+from graphloom.llm.shared import meet, small, stored
 from graphloom.llm.simhash import shingle_hashes
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ MEETING = 2048
 CHUNK = 4096
 #: Classes of shingles whose counts are sent to all executors. They only order the shingles: more classes save candidates, and results are equal.
 CLASSES = 1 << 20
+#: The hashes of up to so many texts of sets with company are sent to all executors (two numbers each); more meet the texts by a shuffle.
+WANTED_ROWS = 2_000_000
 
 _rng = np.random.default_rng(17)
 _FLIP, _FACTOR = (_rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
@@ -163,7 +165,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("n") >= SIMILARITY * (F.col("m") - F.col("n"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, *, wanted_rows: int = WANTED_ROWS) -> DataFrame:
     """doc_id, h, component (never null) and component_id (smallest doc_id reachable over pairs with the similarity) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     rows = stored(texts.mapInArrow(_sketch, "doc_id long, h long, name long, keys array<long>"), "sketches")
@@ -175,7 +177,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     stars = stars.select(F.least("name", "end").alias("a"), F.greatest("name", "end").alias("b")).distinct()
     # One text of each set that has company.
     wanted = stored(rows.join(members.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min("h").alias("h")), "wanted-sets")
-    sets = stored(texts.join(wanted, "h").select("name", "text").dropDuplicates(["name"]).mapInArrow(_sets, "name long, own array<long>, sketch array<long>, n long"), "sets")
+    sets = stored(texts.join(small(wanted, wanted_rows), "h").select("name", "text").dropDuplicates(["name"]).mapInArrow(_sets, "name long, own array<long>, sketch array<long>, n long"), "sets")
 
     links = stored(_alike(_near(stars, sets), sets), "links")
     labels = stored(components(links), "labels")
