@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: similarity of 0.8 on five-word shingles, which is wider than op8's three bits."""
-    return simhash.keep_first(docs, near_copies.near_copies(docs))
+    """One document of each group of near duplicates: op8's SimHash links, and a similarity of 0.8 on five-word shingles, which lies beyond its three bits."""
+    return simhash.keep_first(docs, near_copies.near_copies(docs, simhash.near_duplicates(docs)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,8 +165,18 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("n") >= SIMILARITY * (F.col("m") - F.col("n"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame, *, wanted_rows: int = WANTED_ROWS) -> DataFrame:
-    """doc_id, h, component (never null) and component_id (smallest doc_id reachable over pairs with the similarity) of every row."""
+def _known(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """a < b: the sets of each group of texts, each with the smallest of its group."""
+    named = stored(rows.select("h", "name").distinct().join(groups.select("h", F.col("component").alias("known")).distinct(), "h").select("known", "name").distinct(), "known-groups")
+    first = stored(named.groupBy("known").agg(F.min("name").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("known", "a"), "first-sets")
+    return meet(named, first, "known", spread="name").filter("a < name").select("a", F.col("name").alias("b"))
+
+
+def near_copies(docs: DataFrame, groups: DataFrame | None = None, *, wanted_rows: int = WANTED_ROWS) -> DataFrame:
+    """doc_id, h, component (never null) and component_id (smallest doc_id reachable over pairs with the similarity) of every row.
+
+    ``groups``: h and component of texts that count as linked whatever their similarity, such as those of ``simhash.near_duplicates``.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     rows = stored(texts.mapInArrow(_sketch, "doc_id long, h long, name long, keys array<long>"), "sketches")
     once = stored(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "distinct-sets")
@@ -179,7 +189,8 @@ def near_copies(docs: DataFrame, *, wanted_rows: int = WANTED_ROWS) -> DataFrame
     wanted = stored(rows.join(members.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min("h").alias("h")), "wanted-sets")
     sets = stored(texts.join(small(wanted, wanted_rows), "h").select("name", "text").dropDuplicates(["name"]).mapInArrow(_sets, "name long, own array<long>, sketch array<long>, n long"), "sets")
 
-    links = stored(_alike(_near(stars, sets), sets), "links")
+    links = _alike(_near(stars, sets), sets)
+    links = stored(links if groups is None else links.unionByName(_known(rows, groups)), "links")
     labels = stored(components(links), "labels")
     open_ = members.select("key", "name").join(labels, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("component", "name").alias("c"))
     mixed = open_.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).filter("l < h").select("key")

@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from graphloom.llm import near_copies
+from tests.llm.test_simhash import brute_fp
 
 
 def shingle_set(text):
@@ -86,3 +87,15 @@ def test_a_crowded_shingle_is_dealt_to_several_tasks(spark, monkeypatch):
     found = {(r.a, r.b) for r in near_copies.prefix_pairs(spark.createDataFrame(sets, "name long, c long, own array<long>")).collect()}
     alike = {(a, b) for a, _, x in sets for b, _, y in sets if a < b and len({*x} & {*y}) >= 0.8 * len({*x} | {*y})}
     assert alike <= found and len(alike) > 100
+
+
+def test_stage_drops_what_simhash_links_and_what_only_shingles_tell(spark):
+    rng = random.Random(5)
+    often, base = "one line that comes again and again " * 60, [f"w{rng.randrange(900)}" for _ in range(200)]
+    ends = [" ".join(f"{c}{i}" for i in range(9)) for c in "pq"]
+    texts = {6: often + ends[0], 4: often + ends[1], 9: " ".join(base), 2: " ".join(edited(base, rng, 4)), 7: " ".join(edited(base[:60], rng, 25))}
+    fp = {i: brute_fp(t) for i, t in texts.items()}
+    near = lambda a, b: len(shingle_set(texts[a]) & shingle_set(texts[b])) / len(shingle_set(texts[a]) | shingle_set(texts[b]))
+    assert (fp[6] ^ fp[4]).bit_count() <= 3 and near(6, 4) < 0.8 and (fp[9] ^ fp[2]).bit_count() > 3 and near(9, 2) >= 0.8
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [2, 4, 7]
