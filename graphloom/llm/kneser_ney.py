@@ -1,14 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-N-grams are of characters. Counts of the highest order come from the trusted documents (a bounded sample of ``TRUSTED_DOCS`` of them), those of lower orders are
+N-grams are of characters. Counts of the highest order come from all trusted documents, those of lower orders are
 continuation counts; each order has three discounts from its counts of counts. Contexts, discounted probabilities and lower orders
 meet in joins of tables that are dealt by n-gram or context, and the model is then joined to the distinct n-grams of all documents. The result, a
 log-probability for each distinct n-gram, is bounded by the codes' combinations and the corpus: up to ``BROADCAST_ROWS`` rows go to
 all executors and documents are summed up where they are; beyond that, documents' n-grams are joined to it by a shuffle.
 
 A document is kept if its perplexity (of a character; characters that are spelled in bytes have several symbols), smoothed by ``PRIOR_CHARS`` characters of the middle perplexity so that a few characters don't
-condemn a short text, is at most its language's threshold: the quantile ``HIGH`` of the perplexities of trusted documents
-in that language that gave the model no counts (of all languages for a language that has fewer than ``LEAST_TRUSTED`` of them).
+condemn a short text, is at most its language's threshold: the quantile ``HIGH`` of the perplexities of all trusted documents
+in that language, each by a model of the other folds, which it gave no counts (of all languages for a language that has fewer than ``LEAST_TRUSTED`` of them).
 Quantiles are exact up to ``1 / BINS`` of log-perplexity, as they are read from counts of bins of that width.
 
 Nulls and odd rows: null and empty texts have perplexity null and are not kept. Labels with nulls are ignored, of repeated ones the
@@ -19,6 +19,7 @@ all documents with text are kept. Columns other than doc_id, text and lang are i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,16 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import chars
-from graphloom.llm.shared import scratch, stored, table
+from graphloom.llm.shared import scratch, small, stored, table
 
 ORDER = 4
 MIDDLE, HIGH = 0.5, 0.995
 BINS = 1000
 PRIOR_CHARS = 100
-#: One in FOLDS trusted documents at least, by a hash of the id, gives thresholds and no counts (0: all give both).
+#: Trusted documents are dealt to so many folds by a hash of the id; for the thresholds each fold is measured by a model of all others (0: by the whole model).
 FOLDS = 4
-#: Trusted documents that give counts, about: a bounded sample by language, so that it can be sent to all executors. All others give thresholds.
-TRUSTED_DOCS = 50_000
+#: Up to so many ids of a fold's trusted documents are sent to all executors; more meet the documents by a shuffle.
+TRUSTED_ROWS = 1_000_000
 LEAST_TRUSTED = 30
 BROADCAST_ROWS = 2_000_000
 
@@ -77,6 +78,10 @@ def train(counts: DataFrame, *, order: int = ORDER) -> list[tuple[DataFrame, Dat
     return model
 
 
+def _added(counts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, counts).groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def log_probabilities(keys: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """key, logp of any n-grams of the highest order (column key, distinct) by joins with each order."""
     now = keys.withColumn("p", F.lit(1.0 / chars.CODES))
@@ -148,30 +153,35 @@ def sampled(trusted: DataFrame, rows: int) -> DataFrame:
     return trusted.join(F.broadcast(sizes), F.expr("lang <=> l")).filter(chance < F.lit(float(most)) / F.col("k")).select("trusted_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, folds: int = FOLDS, trusted_docs: int = TRUSTED_DOCS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, folds: int = FOLDS, trusted_docs: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_chars, log_perplexity, threshold, kept of every row of ``docs`` (doc_id, text, lang).
 
-    ``labels``: doc_id, quality (1 trusted).
+    ``labels``: doc_id, quality (1 trusted). ``trusted_docs``: None, or about how many of the trusted documents give counts.
     """
     trusted = labels.select(F.col("doc_id").cast("long").alias("trusted_id"), "quality").na.drop().groupBy("trusted_id").agg(F.min("quality").alias("q")).filter("q > 0").select("trusted_id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     trusted = stored(own.select(F.col("doc_id").alias("trusted_id"), "lang").join(trusted, "trusted_id").groupBy("trusted_id").agg(F.min("lang").alias("lang")), "trusted")
-    counting = stored(sampled(trusted, trusted_docs), "counting")
-    measuring = trusted
-    if folds:
-        taken = stored(counting.filter(F.pmod(F.xxhash64("trusted_id"), F.lit(folds)) > 0), "counting")
-        rest = stored(trusted.join(F.broadcast(taken), "trusted_id", "left_anti"), "measuring")
-        if not (taken.isEmpty() or rest.isEmpty()):
-            counting, measuring = taken, rest
-    counting = F.broadcast(counting)  # about trusted_docs rows at most
+    counting = trusted if trusted_docs is None else trusted.join(sampled(trusted, trusted_docs), "trusted_id")
+    counting = stored(counting.select("trusted_id", F.pmod(F.xxhash64("trusted_id"), F.lit(max(1, folds))).alias("fold")), "counting")
+    used = sorted(r.fold for r in counting.select("fold").distinct().collect()) or [0]
     letters = chars.alphabet(own)
-    counts = chars.window_counts(own.join(counting, F.col("doc_id") == F.col("trusted_id"), "left_semi"), letters, order - 1, 0)
-    model = train(counts, order=order)
+    texts = {f: own.join(small(counting.filter(F.col("fold") == f), TRUSTED_ROWS), F.col("doc_id") == F.col("trusted_id"), "left_semi") for f in used}
+    counts = {f: stored(chars.window_counts(texts[f], letters, order - 1, 0), "fold-counts") for f in used}
+    model = train(_added([counts[f] for f in used]), order=order)
     keys = chars.window_counts(own, letters, order - 1, 0).select("key")
-    scored = stored(log_probabilities(keys, model), "scored-ngrams")
-    rows = stored(perplexities(own, letters, scored, order=order, broadcast_rows=broadcast_rows).withColumn("lp", F.expr("IF(n > 0, -total / n, NULL)")), "perplexities")
 
-    of_trusted = rows.join(measuring.select("trusted_id"), F.col("doc_id") == F.col("trusted_id"), "left_semi").filter("lp IS NOT NULL")
+    def measured(texts: DataFrame, keys: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+        scored = stored(log_probabilities(keys, model), "scored-ngrams")
+        return stored(perplexities(texts, letters, scored, order=order, broadcast_rows=broadcast_rows).withColumn("lp", F.expr("IF(n > 0, -total / n, NULL)")), "perplexities")
+
+    rows = measured(own, keys, model)
+    if len(used) > 1:  # each fold by a model of the others; those that give no counts at all by the whole model
+        rest = trusted.join(counting, "trusted_id", "left_anti")
+        held_out = [measured(texts[f], counts[f].select("key"), train(_added([counts[g] for g in used if g != f]), order=order)) for f in used]
+        of_trusted = reduce(DataFrame.union, held_out, rows.join(rest, F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    else:
+        of_trusted = rows.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    of_trusted = of_trusted.filter("lp IS NOT NULL")
     bins = stored(of_trusted.groupBy(F.col("lang").alias("l"), F.floor(F.col("lp") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("k")), "perplexity-bins")
     by_lang = quantiles(bins, ["l"]).filter(F.col("k") >= LEAST_TRUSTED).select("l", F.col("q").alias("own"))
     overall = quantiles(bins.groupBy("bin").agg(F.sum("k").alias("k")), []).select(F.col("q").alias("overall"))

@@ -181,3 +181,23 @@ def test_thresholds_take_all_trusted_documents_without_counts(spark):
     ids = [r.trusted_id for r in kneser_ney.sampled(trusted, 120).collect()]
     assert sum(i % 10 == 0 for i in ids) == 40 and 80 < len(ids) < 160  # 120 by chance
     assert kneser_ney.sampled(trusted, 400).count() == 400
+
+
+def test_all_trusted_documents_give_counts_and_thresholds(spark):
+    words = ["the cat", "a rat sat", "on that mat", "and the hat of it", "who knew"]
+    texts = {i: " ".join(words[(i * k) % 5] for k in range(1, 4 + i % 3)) for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in texts], "doc_id long, quality int")
+    codes = own_codes(chars.alphabet(docs))
+
+    def measure(text, p):
+        line = [0, 0, 0] + codes(text)
+        return -sum(math.log(p(tuple(line[i : i + 4]))) for i in range(len(text))) / len(text)
+
+    rows = kneser_ney.classify(docs, labels).collect()
+    p = brute_kn(texts.values(), 4, codes)
+    assert all(math.isclose(r.log_perplexity, measure(texts[r.doc_id], p), rel_tol=1e-9) for r in rows) and len(rows) == 40
+    fold = {r.doc_id: r.f for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {kneser_ney.FOLDS}) AS f").collect()}
+    others = {f: brute_kn([t for i, t in texts.items() if fold[i] != f], 4, codes) for f in set(fold.values())}
+    worst = max(measure(t, others[fold[i]]) for i, t in texts.items())  # 0.995 of 40 rows are all of them
+    assert len(others) > 1 and {r.threshold for r in rows} == {(math.floor(worst * kneser_ney.BINS) + 1) / kneser_ney.BINS}
