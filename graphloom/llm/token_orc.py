@@ -33,8 +33,8 @@ from graphloom.llm.shared import scratch, shuffle_partitions
 CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?![\w'])| ?[.,;:!?*#$%&|]+(?=\s|\Z)| ?[^ ]+| ")
 #: Runs of white space that chunks would cut differently; such texts are encoded as one piece.
 SPACES = re.compile(r"\s (?:\s|\Z)")
-#: Entries a worker keeps between batches: about 200 MB at most for words of usual length.
-CACHE = 1_000_000
+#: Entries a worker keeps at most: about 100 MB for words of usual length.
+CACHE = 500_000
 #: Longer chunks are encoded but not kept.
 CACHED_CHARS = 64
 
@@ -60,7 +60,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.known
-        if len(known) > CACHE:
+        if len(known) >= CACHE:
             known.clear()
         split = [[x] if self.whole.search(x) else CHUNK.findall(x) for x in texts]
         new = list({c for chunks in split for c in chunks if c not in known})
@@ -68,7 +68,7 @@ class ChunkEncoder:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(c) <= CACHED_CHARS else long)[c] = np.asarray(e.ids, "<u4").tobytes()
+                (known if len(c) <= CACHED_CHARS and len(known) < CACHE else long)[c] = np.asarray(e.ids, "<u4").tobytes()
         if not long:
             get = known.__getitem__
             return [b"".join(map(get, chunks)) for chunks in split]
@@ -85,7 +85,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def _groups(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about as many characters in all; a text is never cut."""
     group, size = [], 0
     for x in texts:

@@ -55,3 +55,11 @@ def test_empty_table(spark):
     path = scratch(spark, "test-orc")
     token_orc.write_token_orc(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_path=PATH, end_id=0, shards=2)
     assert token_orc.token_digests(spark, path).count() == 0
+
+
+def test_a_worker_keeps_a_bounded_number_of_entries(plain, monkeypatch):
+    monkeypatch.setattr(token_orc, "CACHE", 10)
+    own = token_orc.ChunkEncoder(PATH)
+    for texts in (["a b c"], [" ".join(f"word{i}" for i in range(50)), "a b"], ["a b c word7"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(own.known) <= 10
