@@ -15,10 +15,20 @@ from graphloom.llm.shared import stored, table
 #: The mixture's tokens as a share of its input's; without repetition, so that it can only leave out surplus of sources.
 MIX_SHARE = (9, 10)
 MIX_EPOCHS = 1
+#: Bytes of an Arrow batch that goes to a Python worker, about. Spark's 64 MB are held several times over by executor and worker, in every task.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by ``ARROW_BYTES``, from here on; a bound of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose lines are mostly content."""
+    small_batches(spark)
     return quality_rules.keep_content(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -30,6 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: op8's SimHash links, and a similarity of 0.8 on five-word shingles, which lies beyond its three bits."""
+    small_batches(spark)
     return simhash.keep_first(docs, near_copies.near_copies(docs, simhash.near_duplicates(docs)))
 
 
@@ -42,6 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with the scores of its best segmentations."""
     import public_tokenizers
 
+    small_batches(spark)
     return sentencepiece_nbest.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 

@@ -6,7 +6,7 @@ of any script stay distinct: a text is a row of symbols, of which a character is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +43,7 @@ class Alphabet:
         return codes
 
 
-def groups(texts: list, chars: int = GROUP_CHARS) -> Iterator[list[str]]:
+def groups(texts: Iterable, chars: int = GROUP_CHARS) -> Iterator[list[str]]:
     """Runs of texts (null: empty) with about as many characters in all."""
     group, size = [], 0
     for x in texts:

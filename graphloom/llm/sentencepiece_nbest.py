@@ -40,9 +40,9 @@ NBEST = 3
 SPACE = "▁"
 BYTE_SCORE = -40_000
 #: Parts, and their characters in all, that a worker keeps between groups of texts; beyond that only parts met again stay.
-CACHE, CACHE_CHARS = 500_000, 8_000_000
+CACHE, CACHE_CHARS = 300_000, 5_000_000
 #: Characters of texts that are encoded at once, about.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 250_000
 #: First loss of a part that has one path only.
 NEVER = 1 << 62
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -324,7 +324,7 @@ def _encode(path: str, n: int, with_ids: bool):
         own = lattice(path, n)
         for batch in batches:
             row = 0
-            for group in groups(batch.column("text").to_pylist(), GROUP_CHARS):
+            for group in groups((x.as_py() for x in batch.column("text")), GROUP_CHARS):  # a batch's texts are never all strings at once
                 ids, ends, scores, whole = own.encode_arrays(group)
                 bounds = np.concatenate(([0], ends))
                 view = memoryview(ids).cast("B")

@@ -103,3 +103,20 @@ def test_nulls_repeats_and_empty_texts_pass_all_stages(spark, tmp_path):
         for name, f in corpus_pipeline.STAGES[3:]:
             now = stored(f(spark, now, str(tmp_path)), f"test-{name}")
         assert now.count() <= want
+
+
+def test_stages_with_python_workers_get_small_arrow_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "bytes"])
+
+    own = spark.newSession()
+    docs = own.range(0, 30, 1, 1).selectExpr("id AS doc_id", "repeat('one two ', 100000) AS text")
+    corpus_pipeline.encode(own, docs, D)
+    found = docs.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in found) == 30 and max(r.bytes for r in found) <= corpus_pipeline.ARROW_BYTES + 800_000 + 1000
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "3m")
+    corpus_pipeline.encode(own, docs, D)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "3m"

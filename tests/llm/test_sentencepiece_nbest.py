@@ -83,3 +83,16 @@ def test_spaces_at_the_end_stay_with_their_text(five):
     assert got == [five.encode(t) for t in texts] and [five.decode(ids) for ids, _ in got] == texts
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert model.piece_to_id(sn.SPACE * 16) in np.frombuffer(got[1][0], "<u4")
+
+
+def test_a_batch_is_encoded_in_small_groups(monkeypatch):
+    import pyarrow as pa
+
+    own, seen = sn.lattice(PATH, 3), []
+    before = own.encode_arrays
+    monkeypatch.setattr(own, "encode_arrays", lambda texts: (seen.append(sum(map(len, texts))), before(texts))[1])
+    texts = ["one two three " * 5000, None, ""] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(sn._encode(PATH, 3, True)(iter([batch]))).to_pydict()
+    assert max(seen) <= 250_000 + len(texts[0]) and out["doc_id"] == list(range(30))
+    assert [np.array(x, "<u4").tobytes() for x in out["pieces"]] == [before([x or ""])[0].astype("<u4").tobytes() for x in texts]
