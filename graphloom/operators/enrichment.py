@@ -53,7 +53,7 @@ def function_index(nodes: DataFrame) -> DataFrame:
 
 def trace_marks(nodes: DataFrame, events: DataFrame) -> DataFrame:
     """id, call_count, avg_duration_ms (4 digits), is_hot_path of functions in the trace; what is known under the qualified name goes first."""
-    hot = traces.hot_functions(stored(traces.timing(events), "timing"))
+    hot = traces.hot_functions(traces.timing(events))
     found = function_index(nodes).join(hot, "name")
     best = found.groupBy("id").agg(F.max(F.struct("exact", "name", "n", "mean_ms", "hot")).alias("x"))
     return best.select("id", F.col("x.n").alias("call_count"), F.round("x.mean_ms", 4).alias("avg_duration_ms"), F.col("x.hot").alias("is_hot_path"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import stored
+
 THREAD = ["pid", "tid"]
 
 
@@ -99,7 +101,8 @@ def covered_spans(nodes: DataFrame, lines: DataFrame) -> DataFrame:
 
 def hot_functions(times: DataFrame) -> DataFrame:
     """Adds total_ms and hot: whether the total is at least that of rank max(1, n // 10) from the top."""
-    t = times.withColumn("total_ms", F.col("mean_ms") * F.col("n"))
+    # Stored: sums of doubles depend on the order in which a shuffle brings them, so the bound and the totals must come of one computation.
+    t = stored(times.withColumn("total_ms", F.col("mean_ms") * F.col("n")), "totals")
     n = t.count()
     if not n:
         return t.withColumn("hot", F.lit(False))
