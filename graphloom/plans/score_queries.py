@@ -122,14 +122,16 @@ _NAMES = r"\\b(shop|Cart|add|total|_hidden|lookup|Base|TABLE|LIMIT|_unused|price
 
 def _files(spark, d):
     own = F.concat(F.lit("_"), F.coalesce(F.nullif(F.regexp_extract("text", "[a-z]{4,}", 0), F.lit("")), F.lit("none")), F.lit("_"), F.col("doc_id").cast("string"))
-    docs = tables(spark, d)["documents"].select(own.alias("own"))
+    # Dealt out before they are parsed: the texts of many documents lie in few parts of a file, and parsing what they give takes far longer than reading them.
+    docs = tables(spark, d)["documents"].select(own.alias("own")).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "own")
     forms = F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(text).alias("text")) for path, text in SOURCES])).alias("form")
     named = lambda c: F.regexp_replace(f"form.{c}", F.lit(_NAMES.replace("\\\\", "\\")), F.concat(F.lit("$1"), F.col("own"))).alias(c)
     return docs.select("own", forms).select(named("path"), named("text"))
 
 
-def _code(name: str, f):
-    QUERIES[name] = lambda spark, d: f(code.facts(_files(spark, d)))
+def _code(name: str, f, *kinds: str):
+    """``f`` over all facts, or over those of the only ``kinds`` that it reads."""
+    QUERIES[name] = lambda spark, d: f(code.facts(_files(spark, d), kinds or None))
 
 
 _code("code_facts", lambda f: f.filter("fact NOT IN ('operator', 'operand', 'use')"))
@@ -140,5 +142,5 @@ _code("code_hotspots", lambda f: code.hotspots(f, 3))
 _code("code_entry_points", code.entry_points)
 _code("code_imports", code.imports)
 _code("code_calls", code.call_edges)
-_code("code_flow_ends", code.flow_ends)
+_code("code_flow_ends", code.flow_ends, "flow")
 QUERIES["code_graph_edges"] = lambda spark, d: code.code_graph(_files(spark, d))[1]

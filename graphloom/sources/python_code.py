@@ -10,12 +10,14 @@ import io
 import math
 import sys
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import stored
+
 FACTS = "path string, fact string, name string, owner string, detail string, line int, value double"
 
 
@@ -53,21 +55,27 @@ def _dotted(x: ast.expr) -> str:
         return ""
 
 
-def facts_of(path: str, text: str) -> list[tuple]:
-    """(path, fact, name, owner, detail, line, value) rows of one file."""
+def facts_of(path: str, text: str, kinds: Collection[str] | None = None) -> list[tuple]:
+    """(path, fact, name, owner, detail, line, value) rows of one file; with ``kinds`` only facts of these, and errors."""
+    wanted = lambda *names: kinds is None or any(n in kinds for n in names)
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError) as error:
         return [(path, "error", type(error).__name__, None, str(error)[:200], getattr(error, "lineno", None) or 0, None)]
     out: list[tuple] = []
-    add = lambda fact, name, owner, detail, node, value=None: out.append((path, fact, name, owner, detail, getattr(node, "lineno", 0), value))
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
 
+    def add(fact, name, owner, detail, node, value=None):
+        if wanted(fact):
+            out.append((path, fact, name, owner, detail, getattr(node, "lineno", 0), value))
+
     def function(node, owner):
-        add("method" if owner else "function", node.name, owner, ",".join(a.arg for a in node.args.args), node, float(_decisions(node.body)))
-        add("cognitive", node.name, owner, None, node, float(nesting_cost(node.body)))
+        if wanted(kind := "method" if owner else "function"):
+            add(kind, node.name, owner, ",".join(a.arg for a in node.args.args), node, float(_decisions(node.body)))
+        if wanted("cognitive"):
+            add("cognitive", node.name, owner, None, node, float(nesting_cost(node.body)))
 
-    for node in tree.body:
+    for node in tree.body if wanted("function", "method", "cognitive", "class", "attribute", "import", "variable") else ():
         if isinstance(node, functions):
             function(node, None)
         elif isinstance(node, ast.ClassDef):
@@ -86,29 +94,32 @@ def facts_of(path: str, text: str) -> list[tuple]:
         elif isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
             add("variable", node.targets[0].id, None, type(node.value).__name__, node)
 
+    calls, flows, uses = wanted("call"), wanted("flow"), wanted("use")
+
     def visit(node, owner):
         for child in ast.iter_child_nodes(node):
             inner = child.name if isinstance(child, (*functions, ast.ClassDef)) else owner
-            if isinstance(child, ast.Call):
+            if calls and isinstance(child, ast.Call):
                 f = child.func
                 name = f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) else _dotted(f)
                 add("call", name, owner, _dotted(f.value) if isinstance(f, ast.Attribute) else None, child, float(len(child.args)))
-            elif isinstance(child, ast.Assign):
+            elif flows and isinstance(child, ast.Assign):
                 for target in child.targets:
                     if isinstance(target, ast.Name):
                         for x in ast.walk(child.value):
                             if isinstance(x, ast.Name):
                                 add("flow", target.id, owner, x.id, child)
-            elif isinstance(child, ast.Name) and isinstance(child.ctx, ast.Load):
+            elif uses and isinstance(child, ast.Name) and isinstance(child.ctx, ast.Load):
                 add("use", child.id, owner, None, child)
             visit(child, inner)
 
-    visit(tree, None)
+    if calls or flows or uses:
+        visit(tree, None)
     lines = (text or "").splitlines()
     blank, comment = sum(not x.strip() for x in lines), sum(x.strip().startswith("#") for x in lines)
     for name, n in (("lines", len(lines)), ("blank", blank), ("comment", comment), ("code", len(lines) - blank - comment)):
         add("metric", name, None, None, None, float(n))
-    for kind, token in _tokens(text or ""):
+    for kind, token in _tokens(text or "") if wanted("operator", "operand") else ():
         add(kind, token, None, None, None)
     return out
 
@@ -127,11 +138,13 @@ def _tokens(text: str) -> Iterator[tuple[str, str]]:
         return
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, kinds: Collection[str] | None = None) -> DataFrame:
+    """The facts of all files; with ``kinds`` only those, so that what a caller drops (most rows are uses and tokens) is neither found nor sent."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in FACTS.split(", ")]
         for frame in frames:
-            rows = [r for p, t in zip(frame["path"], frame["text"]) for r in facts_of(p, t)]
+            rows = [r for p, t in zip(frame["path"], frame["text"]) for r in facts_of(p, t, kinds)]
             yield pd.DataFrame(rows, columns=columns).astype({"line": "int32", "value": "float64"})
 
     return files.select("path", "text").mapInPandas(run, FACTS)
@@ -194,9 +207,14 @@ def flow_edges(f: DataFrame) -> DataFrame:
 
 def flow_ends(f: DataFrame) -> DataFrame:
     """path, name, end: sources (nothing flows in) and sinks (nothing flows out)."""
-    e = flow_edges(f)
-    s, t = e.select("path", F.col("source").alias("name")).distinct(), e.select("path", F.col("target").alias("name")).distinct()
-    return s.join(t, ["path", "name"], "left_anti").withColumn("end", F.lit("source")).union(t.join(s, ["path", "name"], "left_anti").withColumn("end", F.lit("sink")))
+    # Both ends of a flow come of one pass over the facts, and a name's ends meet in one aggregation.
+    end = lambda c, out: F.struct("path", F.col(c).alias("name"), F.lit(out).alias("out"))
+    ends = flow_edges(f).select(F.explode(F.array(end("source", True), end("target", False))).alias("x")).select("x.*")
+    per = ends.groupBy("path", "name").agg(F.bool_or("out").alias("leaves"), F.bool_or(~F.col("out")).alias("enters"))
+    # Rows without a path or name are nobody's match: they are ends by themselves.
+    alone = F.col("path").isNull() | F.col("name").isNull()
+    kinds = F.array_compact(F.array(F.when(F.col("leaves") & (alone | ~F.col("enters")), "source"), F.when(F.col("enters") & (alone | ~F.col("leaves")), "sink")))
+    return per.select("path", "name", F.explode(kinds).alias("end"))
 
 
 # Node kinds of language facts.
@@ -214,24 +232,29 @@ def normalised(f: DataFrame, language: str = "python") -> DataFrame:
     return f.withColumn("node_kind", kinds[F.concat(F.lit(f"{language}:"), "fact")]).filter("node_kind IS NOT NULL")
 
 
+GRAPH_FACTS = ("class", "function", "method", "call", "import")
+
+
 def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of Python files: modules, classes, methods, functions; containment, calls within a file, inheritance and imports between files."""
     from graphloom.operators.graph import edge_id, node_id
 
-    f = facts(files)
+    # Parsed once and stored, as five kinds of edges and the nodes come of it.
+    f = stored(facts(files, GRAPH_FACTS), "code-facts")
     modules = files.select(F.col("path"), F.lit("module").alias("kind"), F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".").alias("qualified_name"), F.lit(None).cast("string").alias("owner"))
     modules = modules.withColumn("name", F.element_at(F.split("qualified_name", r"\."), -1))
     defined = normalised(f).filter("node_kind IN ('class', 'function', 'method')").select("path", F.col("node_kind").alias("kind"), "owner", "name")
     defined = defined.join(modules.select("path", F.col("qualified_name").alias("m")), "path").withColumn("qualified_name", F.concat_ws(".", "m", "owner", "name")).drop("m").distinct()
     every = modules.select("path", "kind", "owner", "name", "qualified_name").unionByName(defined)
     nodes = every.select(node_id(("kind", "kind"), ("repo", F.lit("")), ("path", "path"), ("qname", "qualified_name")).alias("id"), "kind", "name", "qualified_name", "path", F.lit("python").alias("language"), "owner")
+    nodes = stored(nodes, "code-nodes")
     at = lambda test: nodes.filter(test)
     parts = [
         at("kind IN ('class', 'function')").alias("b").join(at("kind = 'module'").alias("a"), F.col("a.path") == F.col("b.path")).select(F.col("a.id").alias("source_id"), F.col("b.id").alias("target_id"), F.lit("contains").alias("kind")),
         at("kind = 'method'").alias("b").join(at("kind = 'class'").alias("a"), (F.col("a.path") == F.col("b.path")) & (F.col("a.name") == F.col("b.owner"))).select(F.col("a.id"), F.col("b.id"), F.lit("contains")),
         call_edges(f).alias("c").join(at("kind IN ('function', 'method')").alias("a"), (F.col("a.path") == F.col("c.path")) & (F.col("a.name") == F.col("c.caller"))).join(at("kind IN ('function', 'method', 'class')").alias("b"), (F.col("b.path") == F.col("c.path")) & (F.col("b.name") == F.col("c.callee"))).select(F.col("a.id"), F.col("b.id"), F.lit("calls")),
         f.filter("fact = 'class' AND detail <> ''").withColumn("base", F.explode(F.split("detail", ","))).alias("c").join(at("kind = 'class'").alias("a"), (F.col("a.path") == F.col("c.path")) & (F.col("a.name") == F.col("c.name"))).join(at("kind = 'class'").alias("b"), F.col("b.name") == F.col("c.base")).select(F.col("a.id"), F.col("b.id"), F.lit("inherits")),
-        imports(f).alias("i").join(at("kind = 'module'").alias("a"), F.col("a.path") == F.col("i.path")).join(at("kind = 'module'").alias("b"), F.col("b.qualified_name") == F.regexp_replace("i.module", r"^\.+", "")).select(F.col("a.id"), F.col("b.id"), F.lit("imports")),
+        f.filter("fact = 'import'").select("path", F.col("detail").alias("module")).alias("i").join(at("kind = 'module'").alias("a"), F.col("a.path") == F.col("i.path")).join(at("kind = 'module'").alias("b"), F.col("b.qualified_name") == F.regexp_replace("i.module", r"^\.+", "")).select(F.col("a.id"), F.col("b.id"), F.lit("imports")),
     ]
     edges = parts[0]
     for p in parts[1:]:

@@ -7,6 +7,7 @@ import pytest
 
 from graphloom.operators.inference import episode
 from graphloom.plans import registry
+from graphloom.sources import python_code
 
 D = "/root/testdata/sf0.001"
 
@@ -42,3 +43,26 @@ def test_every_document_gives_a_package(spark):
     assert found.select("path").distinct().count() >= 3 * n
     edges = registry.queries()["code_graph_edges"](spark, D)
     assert edges.count() >= 5 * n
+
+
+def test_files_are_parsed_once(spark):
+    """Ends of flows and edges of code against the facts of each file; no plan parses a file twice."""
+    texts = [("a/m.py", "x = y\nz = x + w\nclass A(B):\n    def f(self):\n        return g(self)\n\n\ndef g(n):\n    return A()\n"), ("a/b.py", "class B:\n    pass\n"), (None, "q = r\n"), ("bad.py", "def (:\n"), ("n.py", None)]
+    files = spark.createDataFrame(texts, "path string, text string").repartition(3)
+    flows = {(p, r[4], r[2]) for p, t in texts for r in python_code.facts_of(p, t) if r[1] == "flow"}
+    for kinds in (None, ["flow"]):
+        ends = python_code.flow_ends(python_code.facts(files, kinds))
+        assert ends._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+        sources, sinks = {(p, a) for p, a, _ in flows}, {(p, b) for p, _, b in flows}
+        alone = lambda x, others: x[0] is None or x not in others
+        want = {(*x, "source") for x in sources if alone(x, sinks)} | {(*x, "sink") for x in sinks if alone(x, sources)}
+        assert sorted(map(str, map(tuple, ends.collect()))) == sorted(map(str, want)) and len(want) == 5
+    for p, t in texts:
+        every = python_code.facts_of(p, t)
+        for kinds in (["flow"], python_code.GRAPH_FACTS, ["operand", "metric"], ["use"], ["method", "cognitive"]):
+            assert python_code.facts_of(p, t, kinds) == [r for r in every if r[1] in (*kinds, "error")]
+    nodes, edges = python_code.code_graph(files.filter("path IS NOT NULL"))
+    assert "MapInPandas" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    name = {r.id: r.name for r in nodes.collect()}
+    got = sorted((name[r.source_id], name[r.target_id], r.kind) for r in edges.collect())
+    assert got == [("A", "B", "inherits"), ("A", "f", "contains"), ("b", "B", "contains"), ("f", "g", "calls"), ("g", "A", "calls"), ("m", "A", "contains"), ("m", "g", "contains")]
