@@ -27,10 +27,15 @@ _D = "decimal(38,0)"
 _wide = lambda c: F.col(c).cast("decimal(19,0)")
 
 
+def _weighted(edges: DataFrame, unit: int) -> DataFrame:
+    """u, v, w: each edge with its weight in parts of ``unit``; those without ends or weight are left out."""
+    w = F.round(F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) * unit).cast("long") if "weight" in edges.columns else F.lit(unit).cast("long")
+    return edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), w.alias("w")).filter("u IS NOT NULL AND v IS NOT NULL AND w > 0")
+
+
 def undirected(edges: DataFrame, unit: int = UNIT) -> DataFrame:
     """u, v, w: each edge in both directions with the sum of its weights in parts of ``unit``; a self-loop once, with twice its weight."""
-    w = F.round(F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) * unit).cast("long") if "weight" in edges.columns else F.lit(unit).cast("long")
-    e = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), w.alias("w")).filter("u IS NOT NULL AND v IS NOT NULL AND w > 0")
+    e = _weighted(edges, unit)
     return e.union(e.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
 
 
@@ -38,14 +43,23 @@ def _inside(both: DataFrame, labels: DataFrame) -> Fraction:
     """Modularity of labels (id, c) over ``both`` (u, v, w), exact."""
     a, b = labels.toDF("u", "cu"), labels.toDF("v", "cv")
     rows = both.join(a, "u").join(b, "v")
-    per = rows.groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("s"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0)).alias("own"))
+    return _of_sums(rows.groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("s"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0)).alias("own")))
+
+
+def _of_sums(per: DataFrame) -> Fraction:
+    """Modularity of the sums of degrees (s) and of weights within (own) of each community."""
     total = per.agg(F.sum("s").alias("m"), F.sum("own").alias("own"), F.sum(_wide("s") * _wide("s")).alias("squares")).first()
     return Fraction(int(total.own), int(total.m)) - Fraction(int(total.squares), int(total.m) ** 2) if total.m else Fraction(0)
 
 
 def modularity(edges: DataFrame, labels: DataFrame, *, unit: int = UNIT) -> float:
     """Modularity of ``labels`` (id, community; each id once) on the undirected graph of ``edges``; 0 without edges."""
-    return float(_inside(stored(undirected(edges, unit), "undirected"), labels.select("id", F.col("community").alias("c"))))
+    # Sums of whole numbers: an edge counts the same in both directions, and what leads from one community to one node is summed before it meets that node's label.
+    e = _weighted(edges, unit)
+    into = e.join(labels.select(F.col("id").alias("u"), F.col("community").alias("cu")), "u").groupBy("cu", "v").agg(F.sum("w").alias("w"))
+    ties = into.join(labels.select(F.col("id").alias("v"), F.col("community").alias("cv")), "v").groupBy("cu", "cv").agg(F.sum("w").alias("w"))
+    ends = stored(ties, "ties").select(F.explode(F.array("cu", "cv")).alias("c"), "w", F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0).alias("own"))
+    return float(_of_sums(ends.groupBy("c").agg(F.sum("w").alias("s"), F.sum("own").alias("own"))))
 
 
 def _proposals(both: DataFrame, degrees: DataFrame, labels: DataFrame) -> DataFrame:

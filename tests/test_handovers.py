@@ -55,19 +55,18 @@ def test_traversals_take_all_handovers_and_all_starts(spark, small):
     assert dict(rows("strongly_connected_components")) == strong
     assert {r[0] for r in rows("nodes_on_cycles")} == {v for v in nodes if v in one[v] or list(strong.values()).count(strong[v]) > 1}
     far = sorted((s, v, len(p) - 1) for s in nodes for v, p in trees[s].items())
-    mine = [r for r in far if r[0] == "u50"]  # the only user that is asked for
     g = hand(spark, d)
     assert sorted(map(tuple, components.distances(g.nodes, g.edges, g.nodes).collect())) == far
-    assert sorted(rows("bfs_distances")) == mine
-    assert sorted(rows("neighbourhood")) == [r for r in mine if r[2] <= 2]
+    assert sorted(rows("bfs_distances")) == far
+    assert sorted(rows("neighbourhood")) == [r for r in far if r[2] <= 2]
     directed = {(s, v) for s in nodes for v in out[s]}
     assert {(r.source, r.id) for r in components.distances(g.nodes, g.edges, g.nodes, directed=True).collect()} == directed
     chains = defaultdict(list)
-    for s, v, k in mine:
+    for s, v, k in far:
         if k <= 3:
             chains[s, k].append(v)
     assert sorted(rows("dependency_chain")) == sorted((s, k, ",".join(sorted(v))) for (s, k), v in chains.items())
-    assert sorted(rows("shortest_paths")) == sorted(("u50", v, ">".join(p)) for v, p in trees["u50"].items())
+    assert sorted(rows("shortest_paths")) == sorted(("u50", v, ">".join(p)) for v, p in trees["u50"].items())  # the only user that is asked for
     every = sorted((r.source, r.id, tuple(r.path)) for r in components.bfs_trees(g.edges, g.nodes).collect())
     assert every == sorted((s, v, tuple(p)) for s in nodes for v, p in trees[s].items())
     true = {s: (len(trees[s]) - 1) / sum(len(p) - 1 for p in trees[s].values()) for s in nodes}
@@ -91,3 +90,30 @@ def test_traversals_take_all_handovers_and_all_starts(spark, small):
         rank = {v: 0.15 / len(nodes) + 0.85 * sum(rank[u] / len(one[u]) for u in nodes if v in one[u]) for v in nodes}
     got = dict(rows("pagerank"))
     assert all(abs(got[v] - rank[v]) < 1e-8 for v in nodes)
+
+
+def test_searches_from_many_sources_fill_several_blocks(spark):
+    """A chain, a hub with 1,500 leaves and a ring: more sources than one block has bits, sets that meet at a node, and a directed search."""
+    pairs = [("hub", f"leaf{i}") for i in range(1500)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(30)] + [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [("c00", "c00")]
+    e = spark.createDataFrame(pairs, "source_id string, target_id string")
+    ids = spark.createDataFrame([(v,) for v in sorted({v for p in pairs for v in p})] + [("gone",), ("gone",)], "id string")
+    both, one = defaultdict(set), defaultdict(set)
+    for a, b in pairs:
+        one[a].add(b)
+        both[a].add(b)
+        both[b].add(a)
+    for steps, directed in ((one, True), (both, False)):
+        found = components.distances(ids, e, ids if directed else ids.filter("id NOT LIKE 'leaf1%'"), directed=directed)
+        starts = {r.id for r in ids.collect() if directed or not r.id.startswith("leaf1")}
+        want = {(s, v, len(p) - 1) for s in starts for v, p in reach(steps, s).items()}
+        assert found.count() == len(want)
+        assert {tuple(r) for r in found.collect()} == want
+    few = ids.filter("id IN ('c03', 'hub', 'r2', 'leaf7')")
+    trees = {s: reach(both, s) for s in ("c03", "hub", "r2", "leaf7")}
+    assert {(r.source, r.id, tuple(r.path)) for r in components.bfs_trees(e, few).collect()} == {(s, v, tuple(p)) for s, t in trees.items() for v, p in t.items()}
+    visits, n = defaultdict(int), ids.count()
+    for t in trees.values():
+        for p in t.values():
+            for v in p[1:-1]:
+                visits[v] += 1
+    assert dict(map(tuple, components.pair_betweenness(ids, e, few).collect())) == pytest.approx({v: k * 2 / ((n - 1) * (n - 2)) for v, k in visits.items()})

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 from graphloom.functions import storage
 
@@ -30,3 +31,25 @@ def test_tables_go_with_the_driver(tmp_path):
     done = subprocess.run([sys.executable, "-c", SCRIPT.format(tmp_path)], env=os.environ | {"PYTHONPATH": root}, capture_output=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert not [n for n in os.listdir(tmp_path) if n.startswith("numbers-")]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_a_stored_table_go_at_once(spark):
+    before = shuffle_files(spark)
+    df = storage.stored(spark.range(1000).groupBy("id").count(), "counts")
+    end = time.time() + 20  # Spark removes them beside the driver's work
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and df.count() == 1000
+    assert spark.conf.get(storage.CLEANUP, None) is None
+
+
+def test_a_dropped_table_goes_and_others_stay(spark):
+    df, other = storage.stored(spark.range(3), "three"), storage.stored(spark.range(4), "four")
+    path = storage._paths[df]
+    storage.drop(df, spark.range(2))
+    assert not os.path.exists(path.removeprefix("file:")) and path not in storage._written and other.count() == 4
