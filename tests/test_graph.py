@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from graphloom.functions import keywords as kw
@@ -79,3 +82,18 @@ def test_simple_cycles_and_diameter(spark):
     assert c.diameter(x.nodes, x.edges) is None
     y = graph(spark, "abc", [("a", "b"), ("b", "c")])
     assert c.diameter(y.nodes, y.edges) == 2
+
+
+def test_clustering_by_slices(spark):
+    """Links between neighbours against brute force, in one step and in many slices, none of which sends more than its share."""
+    rng = random.Random(4)
+    pairs = [(f"v{rng.randrange(14)}", f"v{rng.randrange(14)}") for _ in range(60)] + [("hub", f"v{i}") for i in range(14)] + [("end", "hub")]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {v: (len(x), sum(b in near[a] for a, b in itertools.combinations(x, 2))) for v, x in near.items() if len(x) > 1}
+    e = spark.createDataFrame(pairs, "source_id string, target_id string")
+    for wedges in (10**8, 20):
+        assert {r.id: (r.neighbours, r.links) for r in g.clustering(e, wedges=wedges).collect()} == want
